@@ -123,10 +123,11 @@ class Words:
 
     __slots__ = ("buf", "starts", "ends", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.buf = (_LOWER if lower else _BLANK)[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, fold: np.ndarray | None = None):
+        """fold: a table of bytes to use instead; what it maps to a space is white space."""
+        self.buf = ((_LOWER if lower else _BLANK) if fold is None else fold)[data]
         n = len(data)
-        ws = _WS[data]
+        ws = self.buf == 32
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         begin = ~ws
@@ -195,7 +196,7 @@ class Words:
         return mix((c[at + k] - c[at]) * down[at] + U(k)), at
 
 
-def pieces(values: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def pieces(values: pa.Array | pa.ChunkedArray, lower: bool = False, fold: np.ndarray | None = None) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, their words) for about PIECE bytes of rows at a time; null counts as empty."""
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks() if values.num_chunks != 1 else values.chunk(0)
@@ -208,7 +209,7 @@ def pieces(values: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PIECE, "right")) - 1)
         o = offsets[lo : hi + 1]
-        yield lo, hi, Words(data[o[0] : o[-1]], o - o[0], lower)
+        yield lo, hi, Words(data[o[0] : o[-1]], o - o[0], lower, fold)
         lo = hi
 
 

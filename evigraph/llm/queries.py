@@ -5,18 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dedup, minhash_dedup, substring_dedup
+from . import chat_format, classify, decontaminate, embedding_dedup, html_text, minhash_dedup, mixing, pii, substring_dedup
 from .common import table
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.languages_of(table(spark, sf_dir, "documents"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"), text=False).taken()
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,8 +67,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1,
     "op2_substring_dedup": op2,
+    "op3_decontamination": op3,
     "op4_embedding_dedup": op4,
+    "op5_language_id": op5,
+    "op6_html_extraction": op6,
+    "op7_mixing": op7,
+    "op8_toxicity": op8,
     "op9_minhash_dedup": op9,
     "op10_chat_format": op10,
 }
