@@ -10,12 +10,12 @@ recall takes.
 
 Nodes work in two passes. First every node links its members to its smallest
 class; these links are verified on full sets and contracted to components, which
-closes the nodes of large groups of near copies without looking at their pairs.
-In nodes where several components are left, small nodes compare all pairs of
-different components; larger ones branch further, and what is still large at the
-last level is compared too: nothing is capped. Pairs whose sketches can't come
-from similar sets (less than one in a million similar pairs looks like that) are
-left out; all others are verified on full sets.
+closes the nodes of large groups of near copies without looking at their pairs
+(a link whose sketches can't come from similar sets, which happens to less than
+one similar pair in a million, is not verified here). Where several components
+are left, small nodes compare all pairs on full sets and give a star for each
+component, so no pairs leave a task; larger nodes branch further, and what is
+still large at the last level is compared block by block: nothing is capped.
 """
 
 from __future__ import annotations
@@ -198,6 +198,49 @@ def _verify(k: int, percent: int) -> Callable:
     return run
 
 
+def similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets with 100 * intersection >= percent * union, by products of incidence matrices of bounded width."""
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    place = np.cumsum(often > 1) - 1
+    column, row = place[column[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        both += m @ m.T
+    return np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+
+
+def _compare(k: int, percent: int) -> Callable:
+    """The nodes of a bucket, each exhaustively on full sets; links leave as a star for each component."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, ids = group.column("node").to_numpy(), group.column("id").to_numpy()
+        names, at = np.unique(ids, return_index=True)
+        folded = group.column("folded").take(pa.array(at)).to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        for i in range(0, len(folded), 512):
+            sets.update(zip(names[i : i + 512].tolist(), _unfold(folded[i : i + 512], k), strict=True))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        order = np.argsort(node, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(node[order])) + 1):
+            who = ids[part]
+            x, y = similar([sets[i] for i in who.tolist()], percent) if len(who) > 1 else ((), ())
+            if len(x):
+                v, root = C._forest(who[x], who[y])
+                a.append(v)
+                b.append(root)
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return run
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
     """The pairs (a, b, a < b) that are similar: sketches first, then full sets."""
     side = lambda c: classes.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
@@ -251,15 +294,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
         mixed = level.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node", "size")
         level = C.settle(level.join(mixed, "node"), f"{base}/level{depth}")
         last = depth == LEVELS
-        small = level if last else level.where(f"size <= {LEAF}")
-        x, y = small.select("node", "id", "n", "comp"), small.selectExpr("node", "id as id2", "n as n2", "comp as comp2")
-        pair = x.join(y, "node").where(f"id < id2 and comp <> comp2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)").selectExpr("id as a", "id2 as b")
-        found = pair if found is None else found.unionAll(pair)
+        # a node is compared as its blocks and their pairs; but for the last level's large ones it is one block
+        small = (level if last else level.where(f"size <= {LEAF}")).withColumn("blocks", F.ceil(F.col("size") / LEAF))
+        small = small.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        small = small.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id")
+        found = small if found is None else found.unionAll(small)
         large = level.where(f"size > {LEAF}")
         if last or large.isEmpty():
             break
         level = large.join(classes.select("id", "sketch"), "id").select("node", "id", "n", "comp", "sketch").mapInArrow(_deeper, "node long, id long, n long, comp long")
-    more = C.settle(_verified(found, classes, texts, least, k, percent), f"{base}/second")
+    groups = 16 * C.shuffle_partitions(spark)
+    met = found.join(texts, "id").select(F.pmod("node", F.lit(groups)).alias("bucket"), "node", "id", "folded")
+    more = C.settle(met.groupBy("bucket").applyInArrow(_compare(k, percent), "a long, b long").distinct(), f"{base}/second")
     comp = C.components(links.unionAll(more))
     C.discard(spark, f"{base}/texts")
 
