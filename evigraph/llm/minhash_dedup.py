@@ -14,8 +14,11 @@ closes the nodes of large groups of near copies without looking at their pairs
 (a link whose sketches can't come from similar sets, which happens to less than
 one similar pair in a million, is not verified here). Where several components
 are left, small nodes compare all pairs on full sets and give a star for each
-component, so no pairs leave a task; larger nodes branch further, and what is
-still large at the last level is compared block by block: nothing is capped.
+component, so no pairs leave a task. A larger node that one component dominates
+would not get smaller by branching: its few other members are compared with all
+its members, once for all nodes of that component. Other large nodes branch
+further, and what is still large at the last level is compared block by block:
+nothing is capped.
 """
 
 from __future__ import annotations
@@ -289,9 +292,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
     comp = C.components(links)
 
     level = member.select("node", "id", "n").join(comp, "id", "left").selectExpr("node", "id", "n", "coalesce(component, id) as comp")
-    found = None
+    found = dense = None
     for depth in range(1, LEVELS + 1):
-        mixed = level.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node", "size")
+        per = level.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node")
+        mixed = per.agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("node", "size", "top")
         level = C.settle(level.join(mixed, "node"), f"{base}/level{depth}")
         last = depth == LEVELS
         # a node is compared as its blocks and their pairs; but for the last level's large ones it is one block
@@ -299,10 +303,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
         small = small.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         small = small.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id")
         found = small if found is None else found.unionAll(small)
+        if last:
+            break
         large = level.where(f"size > {LEAF}")
-        if last or large.isEmpty():
+        part = large.where("2 * top.c >= size").selectExpr("top.comp as c", "id", "comp <> top.comp as odd")
+        dense = part if dense is None else dense.unionAll(part)
+        large = large.where("2 * top.c < size")
+        if large.isEmpty():
             break
         level = large.join(classes.select("id", "sketch"), "id").select("node", "id", "n", "comp", "sketch").mapInArrow(_deeper, "node long, id long, n long, comp long")
+    # nodes that one component dominates: whoever is not of it against all members, once for all such nodes, in pairs of blocks
+    dense = C.settle(dense.distinct(), f"{base}/dense")
+    sizes = dense.groupBy("c").agg(F.ceil(F.count("*") / LEAF).alias("all"), F.ceil(F.sum(F.col("odd").cast("long")) / LEAF).alias("odds")).where("odds > 0")
+    dense = dense.join(sizes, "c").withColumn("h", F.xxhash64("id"))
+    left = dense.where("odd").selectExpr("c", "id", "pmod(h, odds) as x", "explode(sequence(0L, all - 1)) as y")
+    right = dense.selectExpr("c", "id", "explode(sequence(0L, odds - 1)) as x", "pmod(h, all) as y")
+    found = found.unionAll(left.unionAll(right).select(F.xxhash64("c", "x", "y", F.lit("dense")).alias("node"), "id").distinct())
     groups = 16 * C.shuffle_partitions(spark)
     met = found.join(texts, "id").select(F.pmod("node", F.lit(groups)).alias("bucket"), "node", "id", "folded")
     more = C.settle(met.groupBy("bucket").applyInArrow(_compare(k, percent), "a long, b long").distinct(), f"{base}/second")
