@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def pack(units: DataFrame, budget: int) -> DataFrame:
@@ -22,7 +23,7 @@ def pack(units: DataFrame, budget: int) -> DataFrame:
         return pdf.assign(included=kept)
 
     u = units.select("pack", "key", "score", "tokens", "required")
-    return u.groupBy("pack").applyInPandas(kernel, u.schema.add("included", "boolean"))
+    return u.groupBy("pack").applyInPandas(kernel, StructType(list(u.schema.fields)).add("included", "boolean"))
 
 
 def suppress(turns: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def audit_chain(rows: DataFrame) -> DataFrame:
         return pdf.assign(prev=prev, hash=hashes)
 
     r = rows.select("log", "seq", "payload")
-    return r.groupBy("log").applyInPandas(kernel, r.schema.add("prev", "string").add("hash", "string"))
+    return r.groupBy("log").applyInPandas(kernel, StructType(list(r.schema.fields)).add("prev", "string").add("hash", "string"))
 
 
 def audit_breaks(chain: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +47,15 @@ def chunks(docs: DataFrame, per_chunk: int = 4, max_chars: int = MAX_CHARS) -> D
     end = F.when(F.col("n") > max_chars, F.col("c.start") + F.length("c.text")).otherwise(F.col("size"))
     one = one.select("doc_id", "c.ord", "c.text", "c.start", end.cast("long").alias("end"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    many = d.where("not single").select("doc_id", "text").mapInPandas(_packer(per_chunk, max_chars), f"doc_id {kind}, ord long, text string, start long, end long")
+    many = d.where("not single").select("doc_id", "text").mapInArrow(_packer(per_chunk, max_chars), f"doc_id {kind}, ord long, text string, start long, end long")
     return one.unionByName(many)
 
 
+def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
 def _packer(per_chunk: int, max_chars: int):
     def pack(text: str) -> Iterator[tuple[int, str, int, int]]:
         n, held = 0, []
@@ -75,9 +80,10 @@ def _packer(per_chunk: int, max_chars: int):
         if held:
             yield n, "\n\n".join(h[0] for h in held), held[0][1], held[-1][2]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame([(d, *c) for d, t in zip(b.doc_id, b.text, strict=True) for c in pack(t)], columns=["doc_id", "ord", "text", "start", "end"])
+            rows = [(d, *c) for d, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in pack(t)]
+            yield _batch(rows, [b.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64()], ["doc_id", "ord", "text", "start", "end"])
 
     return run
 
@@ -94,7 +100,8 @@ def entities(chunked: DataFrame) -> DataFrame:
     every = lambda p, g=0: F.regexp_extract_all(t, F.lit(p), F.lit(g))
     people = F.filter(every(PERSON), lambda x: ~x.rlike("^(" + "|".join(STOP_TITLES) + r") "))
     found = [("url", trimmed(every(URL), r"[.,);\]]+$")), ("organisation", every(ORG, 1)), ("person", people), ("version", every(VERSION))]
-    rows = F.flatten(F.array(*[F.transform(a, lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.trim(x).alias("display"))) for k, a in found]))
+    named = lambda k, a: F.transform(a, lambda x: F.struct(F.lit(k).alias("kind"), F.trim(x).alias("display")))
+    rows = F.flatten(F.array(*[named(k, a) for k, a in found]))
     e = chunked.select("doc_id", "ord", F.explode(rows).alias("e")).select("doc_id", "ord", "e.kind", "e.display")
     canonical = F.when(F.col("kind") == "organisation", F.lower(F.regexp_replace(F.regexp_replace("display", r"\s+", " "), r"\.+$", ""))).otherwise(F.lower("display"))
     return e.withColumn("canonical", canonical).groupBy("doc_id", "ord", "kind", "canonical").agg(F.min("display").alias("display"))
@@ -159,13 +166,14 @@ def claims_in(text: str) -> list[tuple[str, str, str]]:
 def claims(chunked: DataFrame) -> DataFrame:
     """(doc_id, ord, n, predicate, subject, object, confidence); n numbers a chunk's claims."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, o, i, *c, 0.4) for d, o, t in zip(b.doc_id, b.ord, b.text, strict=True) for i, c in enumerate(claims_in(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "n", "predicate", "subject", "object", "confidence"])
+            rows = [(d, o, i, *c, 0.4) for d, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, c in enumerate(claims_in(t))]
+            text = pa.string()
+            yield _batch(rows, [b.schema.field(0).type, pa.int64(), pa.int64(), text, text, text, pa.float64()], ["doc_id", "ord", "n", "predicate", "subject", "object", "confidence"])
 
     kind = chunked.schema["doc_id"].dataType.simpleString()
-    return chunked.select("doc_id", "ord", "text").mapInPandas(run, f"doc_id {kind}, ord long, n long, predicate string, subject string, object string, confidence double")
+    return chunked.select("doc_id", "ord", "text").mapInArrow(run, f"doc_id {kind}, ord long, n long, predicate string, subject string, object string, confidence double")
 
 
 def cooccurrence(found: DataFrame, least: int = 2, most: int = 32) -> DataFrame:

@@ -39,7 +39,8 @@ def bm25_search(chunks: DataFrame, query: str, limit: int | None = 10, k1: float
     """
     words = sorted(set(query_tokens(query, 12)))
     n = chunks.select("id", T.tokens(F.col("text")).alias("t"))
-    n = n.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf_{i}") for i, w in enumerate(words)])
+    times = lambda w: F.size(F.filter("t", lambda x: x == w))
+    n = n.select("id", F.size("t").alias("dl"), *[times(w).alias(f"tf_{i}") for i, w in enumerate(words)])
     total = n.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf_{i}") > 0).cast("int")).alias(f"df_{i}") for i in range(len(words))])
     score: Column = F.lit(0.0)
     for i in range(len(words)):
@@ -137,5 +138,6 @@ def identifier_match(wanted: list[str], parts: Column) -> Column:
         q = [p for p in re.split(r"[^a-z0-9]+", s.lower()) if p]
         want = F.array(*[F.lit(p) for p in q])
         ahead = F.sequence(F.lit(1), F.greatest(F.size(parts) - len(q) + 1, F.lit(1)))
-        hits = hits + F.exists(ahead, lambda i, q=q, want=want: F.slice(parts, i, len(q)) == want).cast("int")
+        at = lambda n, w: lambda i: F.slice(parts, i, n) == w
+        hits = hits + F.exists(ahead, at(len(q), want)).cast("int")
     return F.round(hits / max(1, len(wanted)), 6)

@@ -44,7 +44,11 @@ def chunk_slices(s, d):
     return V.chunks(s, d).select("doc_id", "ord", "text")
 
 
-_VERB_SQL = ",".join(f"('{n}', '{v}', {i})" for i, (n, v) in enumerate(ingest.VERBS))
+_SAID = "^([A-Z][A-Za-z0-9 .,''-]{{2,80}})\\s+{v}\\s+([a-zA-Z0-9][^.!?]{{2,200}})[.!?]?$"
+_VERB_SQL = " union all ".join(
+    f"select doc_id, ord, x, '{n}' as predicate, {i} as k, regexp_extract(x, '{_SAID.format(v=v)}', 1) as subject, regexp_extract(x, '{_SAID.format(v=v)}', 2) as object from st where length(x) <= 400 and contains(x, '{v.rstrip('s?')}')"
+    for i, (n, v) in enumerate(ingest.VERBS)
+)
 _CLAIM_SQL = rf"""{_CHUNKS},
 ln as (select doc_id, ord, i, line, sum(case when regexp_matches(line, '^ {{0,3}}(```|~~~)') then 1 else 0 end) over (partition by doc_id, ord order by i) % 2 as fenced
  from (select doc_id, ord, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select doc_id, ord, string_split(text, chr(10)) as ls from ch))),
@@ -57,9 +61,7 @@ bl as (select doc_id, ord, b, trim(regexp_replace(string_agg(regexp_replace(rege
   regexp_replace(line, case when head then '^ {{0,3}}#{{1,6}}\s+' when item then '^ {{0,3}}([-*+]|[0-9]{{1,3}}[.)])\s+' else '^\b$' end, ''),
   '\[([^\]]*)\]\([^)\s]*\)', '\1', 'g'), '[*_`]{{1,3}}', '', 'g'), ' ' order by i), '\s+', ' ', 'g')) as x from g where not blank group by all),
 st as (select doc_id, ord, trim(unnest(string_split(regexp_replace(regexp_replace(x, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))) as x from bl where length(x) between 1 and 4000),
-v as (select * from (values {_VERB_SQL}) as x(predicate, verb, k)),
-c as (select doc_id, ord, x, predicate, k, regexp_extract(x, '^([A-Z][A-Za-z0-9 .,''-]{{2,80}})\s+' || verb || '\s+([a-zA-Z0-9][^.!?]{{2,200}})[.!?]?$', 1) as subject,
- regexp_extract(x, '^([A-Z][A-Za-z0-9 .,''-]{{2,80}})\s+' || verb || '\s+([a-zA-Z0-9][^.!?]{{2,200}})[.!?]?$', 2) as object from st, v where length(x) between 1 and 400),
+c as ({_VERB_SQL}),
 f as (select doc_id, ord, x, arg_min(predicate, k) as predicate, trim(arg_min(subject, k), ' .,') as subject, trim(arg_min(object, k), ' .,') as object from c where subject <> '' group by all),
 claims as (select distinct doc_id, ord, predicate, lower(subject) as subject, lower(object) as object from f)"""
 
