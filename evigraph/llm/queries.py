@@ -108,8 +108,8 @@ with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,
 s as (select distinct doc_id, list_aggregate(ws[i:i+4], 'string_agg', ' ') as g
       from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)),
 n as (select doc_id, count(*) as n from s group by doc_id),
-p as (select a.doc_id as x, b.doc_id as y, count(*) as both from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
-l as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * both >= 75 * (a.n + b.n - both)),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as (select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * p.k >= 75 * (a.n + b.n - p.k)),
 r(x, y) as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
 c as (select x, min(y) as low from r group by x)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id,
