@@ -9,7 +9,8 @@ second pass every passage is projected on them; items of the benchmark (the
 query set) whose cosine with the passage reaches `cosine` are candidates. For
 each, the longest common subsequence of the item and the words around the
 passage is found; a long one is a copy, a middling one counts if the item's
-answer is there too.
+answer is there too. An item longer than the longest passage is cut into pieces
+of that length, each looked for by itself; the item is judged as a whole.
 
 Terms that more than `common` of the items have are no terms: they tell nothing.
 What is broadcast is made from the benchmark alone.
@@ -30,7 +31,7 @@ from . import common as C
 
 STEP = 12  # words between passages; a passage is 2 or 4 steps long
 SCALES = (2, 4)
-TERMS = 0.4  # of an item's distinct terms, what a candidate passage must hold
+TERMS = 0.4  # of the distinct terms of an item or piece, what a candidate passage must hold
 MAX_ITEMS = 1_000_000
 
 # letters, digits and all bytes beyond ASCII are words' bytes; the rest is space
@@ -55,7 +56,8 @@ class Index:
     answers: list[np.ndarray]
     terms: np.ndarray  # sorted hashes
     slots: np.ndarray  # direct table from the low bits of a hash to 1 + its term
-    scale: np.ndarray  # by item: index into SCALES
+    pieces: list[tuple[int, int, int]]  # what is looked for: item, its first word, the word after
+    scale: np.ndarray  # by piece: index into SCALES
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The term of each word, or -1."""
@@ -85,8 +87,17 @@ def index(items: list[tuple[object, str | None, str | None]], common: float = 0.
     terms = terms[alive]
     slots[:] = 0
     slots[(terms & C.U(size - 1)).astype(np.int64)] = np.arange(1, len(terms) + 1)
-    scale = np.array([int(len(t) > 1.3 * SCALES[0] * STEP) for t in tokens], np.int64)
-    return Index([i for i, _, _ in items], tokens, answers, terms, slots, scale)
+    pieces = [(i, a, b) for i, t in enumerate(tokens) for a, b in _cut(len(t))]
+    scale = np.array([int(b - a > 1.3 * SCALES[0] * STEP) for _, a, b in pieces], np.int64)
+    return Index([i for i, _, _ in items], tokens, answers, terms, slots, pieces, scale)
+
+
+def _cut(n: int) -> list[tuple[int, int]]:
+    """The whole of n words, or evenly spaced pieces as long as the longest passage, which cover all of them."""
+    width = SCALES[-1] * STEP
+    if n <= 1.3 * width:
+        return [(0, n)]
+    return [(a, a + width) for a in np.linspace(0, n - width, -(-n // width)).astype(int).tolist()]
 
 
 def _tail(text: str) -> str:
@@ -238,19 +249,21 @@ def _search(model, cosine: float, copy: float, close: float, answer: float) -> C
         ix, space = model.value
         place = space.place()
         rank, columns = place.shape[1], np.ascontiguousarray(place.T)
-        items = np.zeros((len(ix.ids), rank), np.float32)
-        for i, t in enumerate(ix.tokens):
+        wanted = [ix.tokens[i][a:b] for i, a, b in ix.pieces]
+        items = np.zeros((len(wanted), rank), np.float32)
+        for i, t in enumerate(wanted):
             items[i] = place[ix.find(t)].sum(0)
         norm = np.linalg.norm(items, axis=1, keepdims=True)
         items = np.where(norm > 0, items / np.maximum(norm, 1e-12), 0).astype(np.float32)
         blank = norm[:, 0] == 0
-        holds = np.zeros((len(ix.ids), len(ix.terms) + 1), bool)
-        for i, t in enumerate(ix.tokens):
+        holds = np.zeros((len(wanted), len(ix.terms) + 1), bool)
+        for i, t in enumerate(wanted):
             holds[i, ix.find(t)] = True
         holds[:, -1] = False
         least = np.maximum(np.minimum(2, holds.sum(1)), np.ceil(TERMS * holds.sum(1))).astype(np.int64)
         for batch in batches:
             out: dict[tuple, tuple] = {}
+            seen: set[tuple] = set()
             ids = batch.column(0).to_pylist()
             for lo, _, words, h in folded(batch.column(1)):
                 if not len(h):
@@ -275,8 +288,9 @@ def _search(model, cosine: float, copy: float, close: float, answer: float) -> C
                     p = _summed(x, row, at, width)
                     size = np.linalg.norm(p, axis=1, keepdims=True)
                     p /= np.maximum(size, 1e-12)
-                    for k in range(0, len(at), 1 << 13):
-                        like = p[k : k + (1 << 13)] @ items[mine].T
+                    some_at = max(64, min(1 << 13, (1 << 25) // len(mine)))
+                    for k in range(0, len(at), some_at):
+                        like = p[k : k + some_at] @ items[mine].T
                         w, i = np.divmod(np.flatnonzero(like >= cosine), len(mine))
                         if not len(w):
                             continue
@@ -290,7 +304,7 @@ def _search(model, cosine: float, copy: float, close: float, answer: float) -> C
                         shared = np.add.reduceat(holds[np.repeat(mine[i], x1 - x0), found[flat]], np.cumsum(x1 - x0) - (x1 - x0), dtype=np.int64)
                         some = shared >= least[mine[i]]
                         for w, i in zip(w[some].tolist(), i[some].tolist(), strict=True):
-                            _judge(ix, int(mine[i]), words, h, int(block[at[k + w]]), width * STEP, int(row[at[k + w]]), float(like[w, i]), ids[lo + row[at[k + w]]], lo, out, copy, close, answer)
+                            _judge(ix, ix.pieces[mine[i]], words, h, int(block[at[k + w]]), width * STEP, int(row[at[k + w]]), float(like[w, i]), ids[lo + row[at[k + w]]], lo, out, seen, copy, close, answer)
             rows = list(out.values())
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -299,12 +313,22 @@ def _search(model, cosine: float, copy: float, close: float, answer: float) -> C
     return run
 
 
-def _judge(ix: Index, item: int, words: C.Words, h: np.ndarray, begin: int, width: int, row: int, like: float, doc, lo: int, out: dict, copy: float, close: float, answer: float) -> None:
+def _judge(ix: Index, piece: tuple[int, int, int], words: C.Words, h: np.ndarray, begin: int, width: int, row: int, like: float, doc, lo: int, out: dict, seen: set, copy: float, close: float, answer: float) -> None:
+    item = piece[0]
     if (known := out.get((lo + row, item))) and known[2] >= 0.99:
         return
     want = ix.tokens[item]
     f, e = int(words.first[row]), int(words.first[row + 1])
-    a, b = max(f, begin - len(want)), min(e, begin + width + len(want))
+    first = last = begin
+    if piece[2] - piece[1] < len(want):
+        # passages of a long item's pieces that begin in the same quarter of its length are judged once, with all words around any of them
+        quarter = len(want) // 4
+        part = (begin - f) // quarter
+        if (lo + row, item, part) in seen:
+            return
+        seen.add((lo + row, item, part))
+        first, last = f + part * quarter, f + (part + 1) * quarter
+    a, b = max(f, first - len(want)), min(e, last + width + len(want))
     have = h[a:b]
     # a subsequence is no longer than the words in common
     there = set(have.tolist())

@@ -74,3 +74,28 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.contaminated(docs.limit(0), bench).collect() == []
     assert D.contaminated(docs, bench.limit(0)).collect() == []
+
+
+def test_items_longer_than_passages(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    prose = lambda n: [word() for _ in range(n)]
+    items = [(i, prose(n)) for i, n in enumerate([40, 70, 100, 150, 150, 150, 500, 500, 500, 2000])]
+    docs, want = [], set()
+    for d in range(120):
+        w = prose(r.choice([0, 30, 400]))
+        if d % 2:
+            i, t = items[d // 2 % len(items)]
+            # half of them with a tenth of the words replaced
+            t = [word() if d % 4 == 1 and r.random() < 0.1 else x for x in t]
+            k = r.randint(0, len(w))
+            w[k:k] = t
+            want.add((d, i))
+        docs.append((d, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    rows = D.contaminated(df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
+    # one piece alone is not the item
+    part = spark.createDataFrame([(1, " ".join(prose(50) + items[6][1][100:160] + prose(50)))], "doc_id long, text string")
+    assert D.contaminated(part, bench).collect() == []
