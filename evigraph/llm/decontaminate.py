@@ -12,7 +12,9 @@ passage is found; a long one is a copy, a middling one counts if the item's
 answer is there too. An item longer than the longest passage is cut into pieces
 of that length, each looked for by itself; the item is judged as a whole.
 
-Terms that more than `common` of the items have are no terms: they tell nothing.
+Words that more than `common` of the items have are no terms: they tell nothing.
+Items with the same words count once there, and an item left with fewer than FEW
+terms gets its rarest words as terms all the same, so that none goes unsought.
 What is broadcast is made from the benchmark alone.
 """
 
@@ -32,6 +34,7 @@ from . import common as C
 STEP = 12  # words between passages; a passage is 2 or 4 steps long
 SCALES = (2, 4)
 TERMS = 0.4  # of the distinct terms of an item or piece, what a candidate passage must hold
+FEW = 4  # terms that an item has at least, if it has so many words
 MAX_ITEMS = 1_000_000
 
 # letters, digits and all bytes beyond ASCII are words' bytes; the rest is space
@@ -77,8 +80,15 @@ def index(items: list[tuple[object, str | None, str | None]], common: float = 0.
             hashes += [h[words.first[i] : words.first[i + 1]] for i in range(hi - lo)]
     n = len(items)
     tokens, answers = hashes[:n], hashes[n:]
-    term, df = np.unique(np.concatenate([np.unique(t) for t in tokens]) if n else np.empty(0, C.U), return_counts=True)
-    terms = term[df <= max(2, common * n)]
+    distinct = {t.tobytes(): np.unique(t) for t in tokens}
+    term, df = np.unique(np.concatenate(list(distinct.values())) if n else np.empty(0, C.U), return_counts=True)
+    kept = df <= max(2, common * len(distinct))
+    rare = kept.copy()
+    for t in distinct.values():
+        at = np.searchsorted(term, t)
+        if len(t) and kept[at].sum() < min(FEW, len(t)):
+            rare[at[df[at] <= np.sort(df[at])[min(FEW, len(t)) - 1]]] = True
+    terms = term[rare]
     size = 1 << max(16, int(len(terms) * 16 - 1).bit_length()) if len(terms) else 2
     slots = np.zeros(size, np.int32)
     slots[(terms & C.U(size - 1)).astype(np.int64)] = np.arange(1, len(terms) + 1)
@@ -363,13 +373,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine:
     spark = docs.sparkSession
     C.small_batches(spark)
     told = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), told.alias("answer")).distinct().orderBy("item_id", "text").limit(MAX_ITEMS + 1).collect()
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), told.alias("answer")).distinct().orderBy("item_id", "text", "answer").limit(MAX_ITEMS + 1).collect()
     if len(rows) > MAX_ITEMS:
         raise ValueError(f"more than {MAX_ITEMS} items")
-    ix = index([(r.item_id, r.text, r.answer) for r in rows], common)
+    # a text under several item_ids is looked for once for each answer, and found for all of them
+    item: dict[tuple, int] = {}
+    at = [item.setdefault((r.text, r.answer), len(item)) for r in rows]
+    ix = index([(i, *x) for x, i in item.items()], common)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     space = fit_space(d, ix, min(rank, max(1, len(ix.terms))))
     hits = d.mapInArrow(_search(spark.sparkContext.broadcast((ix, space)), cosine, copy, close, answer), _HITS)
-    names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(rows)], "item long, item_id " + benchmark.schema["item_id"].dataType.simpleString())
+    names = spark.createDataFrame([(i, r.item_id) for i, r in zip(at, rows, strict=True)], "item long, item_id " + benchmark.schema["item_id"].dataType.simpleString())
     best = hits.join(F.broadcast(names), "item").groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "answer", (-F.col("begin")).alias("b"))).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.lcs").alias("lcs"), F.col("x.cosine").alias("cosine"), F.col("x.answer").alias("answer"), (-F.col("x.b")).alias("begin"))

@@ -99,3 +99,20 @@ def test_items_longer_than_passages(spark):
     # one piece alone is not the item
     part = spark.createDataFrame([(1, " ".join(prose(50) + items[6][1][100:160] + prose(50)))], "doc_id long, text string")
     assert D.contaminated(part, bench).collect() == []
+
+
+def test_repeated_items(spark):
+    r = random.Random(5)
+    prose = lambda n: ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    one, frame = prose(30), prose(28)
+    # a third of the items is one text, a third one text but for a word, and one item is a single word
+    texts = [one] * 10 + [[*frame, f"x{i}"] for i in range(10)] + [prose(30) for _ in range(9)] + [["lonelyword"]]
+    docs = [(d, " ".join(prose(60) + (texts[d] if d < 30 else []) + prose(60))) for d in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in D.contaminated(df, bench).collect()}
+    near = lambda d: range(10) if d < 10 else range(10, 20) if d < 20 else [d]
+    assert got == {(d, i) for d in range(30) for i in near(d)}
+    # nothing but one text
+    same = spark.createDataFrame([(i, " ".join(one)) for i in range(20)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in D.contaminated(df, same).collect()} == {(d, i) for d in range(10) for i in range(20)}
