@@ -5,8 +5,9 @@ the start. Each class has a sketch of `T` minwise tokens; independent trees
 branch the classes recursively: at a node, each of the T tokens is selected with
 probability 1 / (BRANCH * T) by a hash of the node's path, and the members go to
 the child of the token's value. BRANCH below the threshold keeps a similar
-pair's process supercritical; `trees_for` counts the trees that the wanted
-recall takes.
+pair's process supercritical; `branchings` counts the trees that the wanted
+recall takes, and how often the nodes that branch further start anew, so that the
+recall is the same for pairs that meet at the last level only.
 
 Nodes work in two passes. First every node links its members to its smallest
 class; these links are verified on full sets and contracted to components, which
@@ -40,12 +41,27 @@ LEAF = 100
 LEVELS = 6
 
 
-def trees_for(similarity: float, recall: float, level: int = 2) -> int:
-    """Trees in which at least one has a similar pair in one node of the level, with the wanted recall."""
-    q = 1.0
-    for _ in range(level):
-        q = 1 - (1 - q * similarity / (BRANCH * T)) ** T
-    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+def recall_at(similarity: float, trees: int, again: int, level: int) -> float:
+    """The chance that a pair shares a node of the level in some tree, over the agreement of its sketches, which all levels use; level 2 branches `again` times."""
+    miss = 0.0
+    for c in range(T + 1):
+        q = 1.0
+        for at in range(level, 0, -1):
+            if at == 2 < level:
+                q = 1 - (1 - q) ** again
+            q = 1 - (1 - q * c / (BRANCH * T * T)) ** T
+        miss += math.comb(T, c) * similarity**c * (1 - similarity) ** (T - c) * (1 - q) ** trees
+    return 1 - miss
+
+
+def branchings(similarity: float, recall: float) -> tuple[int, int]:
+    """(trees, again): half the loss that `recall` allows is for the trees down to level 2, the rest for the levels below."""
+    trees = again = 1
+    while recall_at(similarity, trees, 1, 2) < (1 + recall) / 2:
+        trees += 1
+    while recall_at(similarity, trees, again, LEVELS + 1) < recall:
+        again += 1
+    return trees, again
 
 
 def least_agreement(similarity: float) -> int:
@@ -149,11 +165,18 @@ def _roots(trees: int) -> Callable:
     return run
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, child = _branch(batch.column(0).to_numpy().view(C.U), _tokens(batch.column(4)))
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(i).take(at) for i in (1, 2, 3))], ["node", "id", "n", "comp"])
+def _deeper(again: int) -> Callable:
+    """The children of nodes; each node branches so many times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, tokens = batch.column(0).to_numpy().view(C.U), _tokens(batch.column(4))
+            for r in range(again):
+                row, child = _branch(C.mix(path + C.U(r)) if r else path, tokens)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(i).take(at) for i in (1, 2, 3))], ["node", "id", "n", "comp"])
+
+    return run
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -275,7 +298,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
     classes = known.join(lead, ["print", "id"]).dropDuplicates(["print"])
     classes = C.settle(classes.select(F.xxhash64("print").alias("id"), F.col("id").alias("doc"), "body", "n", "print", "sketch"), f"{base}/classes")
     similarity = percent / 100
-    trees, least = trees_for(similarity, recall), least_agreement(similarity)
+    (trees, again), least = branchings(similarity, recall), least_agreement(similarity)
     roots = C.settle(classes.select("id", "n", "sketch").mapInArrow(_roots(trees), "node long, id long, n long"), f"{base}/roots")
     shared = roots.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1")
     member = C.settle(roots.join(shared, "node"), f"{base}/members")
@@ -311,7 +334,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
         large = large.where("2 * top.c < size")
         if large.isEmpty():
             break
-        level = large.join(classes.select("id", "sketch"), "id").select("node", "id", "n", "comp", "sketch").mapInArrow(_deeper, "node long, id long, n long, comp long")
+        level = large.join(classes.select("id", "sketch"), "id").select("node", "id", "n", "comp", "sketch").mapInArrow(_deeper(again if depth == 1 else 1), "node long, id long, n long, comp long")
     # nodes that one component dominates: whoever is not of it against all members, once for all such nodes, in pairs of blocks
     dense = C.settle(dense.distinct(), f"{base}/dense")
     sizes = dense.groupBy("c").agg(F.ceil(F.count("*") / LEAF).alias("all"), F.ceil(F.sum(F.col("odd").cast("long")) / LEAF).alias("odds")).where("odds > 0")

@@ -1,5 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from evigraph.llm import minhash_dedup as M
 from evigraph.llm.minhash_dedup import near_duplicates
 
 
@@ -60,3 +65,30 @@ def test_empty_and_odd_ids(spark):
     df = spark.createDataFrame([(None, t), (5, t), (5, u), (3, u)], schema)
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near_duplicates(df).collect())
     assert got == [(0, 26, 0, True), (3, 26, 3, True), (5, 26, 3, False), (5, 26, 5, True)]
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.75, 0.9])
+def test_recall_of_all_levels(similarity):
+    trees, again = M.branchings(similarity, 0.9999)
+    assert all(M.recall_at(similarity, trees, again, level) >= 0.9999 for level in range(2, M.LEVELS + 2))
+
+
+def test_pairs_that_meet_at_the_last_level_only():
+    """The kernels on the sketches of 1,000 pairs at 0.75: who shares no node of the last level."""
+    r = np.random.default_rng(6)
+    left = r.integers(0, 1 << 32, (1000, M.T), dtype=np.uint32)
+    right = np.where(r.random(left.shape) < 0.75, left, r.integers(0, 1 << 32, left.shape, dtype=np.uint32))
+    trees, again = M.branchings(0.75, 0.9999)
+    met = set()
+    for lo in range(0, 1000, 100):
+        tokens = [x.tobytes() for x in np.concatenate([left[lo : lo + 100], right[lo : lo + 100]])]
+        ids = pa.array(range(200))
+        for level in M._roots(trees)([pa.RecordBatch.from_arrays([ids, ids, pa.array(tokens, pa.binary())], ["id", "n", "sketch"])]):
+            for depth in range(1, M.LEVELS):
+                sketch = pa.array([tokens[i] for i in level.column(1).to_pylist()], pa.binary())
+                full = pa.RecordBatch.from_arrays([*level.columns[:3], level.column(2), sketch], ["node", "id", "n", "comp", "sketch"])
+                level = pa.concat_batches(list(M._deeper(again if depth == 1 else 1)([full])))
+            node, who = level.column(0).to_numpy(), level.column(1).to_numpy()
+            a, b = ({*zip(node[x].tolist(), (who[x] % 100).tolist())} for x in (who < 100, who >= 100))
+            met |= {lo + i for _, i in a & b}
+    assert len(met) >= 999
