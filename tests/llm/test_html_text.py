@@ -1,4 +1,6 @@
+import html
 import random
+import time
 
 import pytest
 
@@ -47,3 +49,37 @@ def test_operator(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in extract(df).collect())
     want = "\n".join(WANT)
     assert got == [(1, want, len(want)), (2, "", 0), (2, "", 0)]
+
+
+def test_a_form_around_the_page():
+    """As some frameworks write every page; a form within it that asks for little still goes."""
+    page = f'<body><form id="aspnetForm" action="x">{NOISE[0]}<div>{P}</div><form><label>Your name</label><select><option>a</option></select></form></form></body>'
+    assert main_text(page).split("\n") == WANT
+
+
+def test_time_is_linear():
+    def took(page):
+        t = time.perf_counter()
+        main_text(page)
+        return time.perf_counter() - t
+
+    for make in (lambda n: "<div>" * n + "word, " * 50, lambda n: '<a href="x ' * n + ">text", lambda n: "<div><b>" + "<i>" * n + "</b></b>" * n + "<p>" * n, lambda n: "<p><div>" + "<x-foo>" * n + "<p></p>" * n):
+        assert took(make(40_000)) < 40 * took(make(4_000)) + 0.5
+
+
+def test_very_long_pages_and_empty_tables(spark):
+    long = f"<article>{P * 20_000}</article>"
+    assert main_text(long).split("\n") == WANT * 20_000
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert extract(none).collect() == []
+
+
+def test_every_block_of_gold_pages_once():
+    """Brute force: what was put into the article of a random page is what comes out, in order."""
+    r = random.Random(4)
+    for _ in range(200):
+        said = [" ".join(r.choice(["alpha", "beta,", "gamma", "delta,", "x < y", "tea & milk"]) for _ in range(r.randint(12, 60))) + "." for _ in range(r.randint(3, 12))]
+        tag = lambda t: r.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<blockquote><p>{}</p></blockquote>", "<p><em>{}</em></p>"]).format(html.escape(t))
+        body = "".join(tag(t) for t in said)
+        page = "<html><head><title>t</title></head><body>" + "".join(r.sample(NOISE, 4)) + r.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<article class=x><section>{}</section></article>"]).format(body) + "".join(r.sample(NOISE, 4)) + "</body></html>"
+        assert main_text(page).split("\n") == said
