@@ -7,7 +7,8 @@ text segments with their loss flags; their concatenation is the formatted string
 Control strings inside texts are escaped with a backslash: ``\\`` becomes ``\\\\``
 and ``<|`` becomes ``<\\|``, so that a formatted string holds no control string
 but those of the template, and taking one backslash away from each escape gives
-the text back.
+the text back. In a role, a newline becomes a backslash and an n as well, so that
+it doesn't end the role.
 """
 
 from __future__ import annotations
@@ -37,6 +38,15 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    # a backslash before n is an escape of its own after an even number of backslashes only
+    return unescape(F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"))
+
+
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
@@ -64,7 +74,7 @@ def segments(turns: Column, template: Template = CHAT) -> Column:
         F.transform(
             turns,
             lambda t: F.array(
-                part(F.concat(F.lit(template.before), escape(t["role"]), F.lit(template.between)), no),
+                part(F.concat(F.lit(template.before), escape_role(t["role"]), F.lit(template.between)), no),
                 part(escape(t["text"]), t["role"].isin(*template.loss)),
                 part(F.lit(template.after), no),
             ),
@@ -73,9 +83,10 @@ def segments(turns: Column, template: Template = CHAT) -> Column:
 
 
 def chat_format(conversations: DataFrame, template: Template = CHAT) -> DataFrame:
-    """(conv_id, valid, segments, formatted) for every conv_id of conversations (conv_id, turn, role, text).
+    """(conv_id, valid, segments, mask, formatted) for every conv_id of conversations (conv_id, turn, role, text).
 
-    valid: the machine accepts the roles from the first turn to the last.
+    mask: the runs of `formatted`, each with its length in code points and
+    whether its characters count for the loss. valid: the machine accepts the roles from the first turn to the last.
     Conversations that it rejects are formatted all the same. Null roles and
     texts are empty; a null turn comes first, equal turns go by role, then text;
     repeated rows are turns of their own; null is a conv_id like any other.
@@ -83,7 +94,19 @@ def chat_format(conversations: DataFrame, template: Template = CHAT) -> DataFram
     """
     t = turns(conversations).withColumn("segments", segments(F.col("turns"), template))
     end = state_after(F.transform("turns", lambda x: x["role"]), template)
-    return t.select("conv_id", F.coalesce(end.isin(*template.final), F.lit(False)).alias("valid"), "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
+    mask = F.transform("segments", lambda s: F.struct(F.length(s["text"]).cast("long").alias("chars"), s["loss"].alias("loss")))
+    return t.select("conv_id", F.coalesce(end.isin(*template.final), F.lit(False)).alias("valid"), "segments", mask.alias("mask"), F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
+
+
+def under_loss(formatted: Column, mask: Column) -> Column:
+    """array<string>: what stands under the runs of a formatted string's mask that count, in order."""
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("said"))
+
+    def run(s: Column, m: Column) -> Column:
+        here = F.array(F.substr(formatted, s["at"].cast("int"), m["chars"].cast("int")))
+        return F.struct((s["at"] + m["chars"]).alias("at"), F.when(m["loss"], F.concat(s["said"], here)).otherwise(s["said"]).alias("said"))
+
+    return F.aggregate(mask, start, run)["said"]
 
 
 def read_back(formatted: Column, template: Template = CHAT) -> Column:
@@ -94,6 +117,6 @@ def read_back(formatted: Column, template: Template = CHAT) -> Column:
     def turn(x: Column) -> Column:
         x = F.substr(x, F.lit(len(template.before) + 1))
         cut = F.instr(x, template.between)
-        return F.struct(unescape(F.substr(x, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(x, cut + len(template.between))).alias("text"))
+        return F.struct(unescape_role(F.substr(x, F.lit(1), cut - 1)).alias("role"), unescape(F.substr(x, cut + len(template.between))).alias("text"))
 
     return F.transform(one, turn)

@@ -53,7 +53,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.expr("if(id = 0, 'user', 'assistant')").alias("role"), F.lit(HOSTILE).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(asked)
     out = chat_format.chat_format(rows).withColumn("back", chat_format.read_back(F.col("formatted")))
-    masked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat_format.unescape(s["text"]))
+    masked = F.transform(chat_format.under_loss(F.col("formatted"), F.col("mask")), chat_format.unescape)
     out = out.withColumn("masked", F.array_join(masked, ""))
     return out.select(
         "conv_id",
