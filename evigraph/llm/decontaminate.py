@@ -6,20 +6,24 @@ benchmark, the documents that hold it, and sums the range finder of a randomised
 SVD, A'(A O) for a random O: each task adds up its own passages and the sums meet
 by term. From that the right singular vectors of the TF-IDF matrix follow. In a
 second pass every passage is projected on them; items of the benchmark (the
-query set) whose cosine with the passage reaches `cosine` are candidates. For
-each, the longest common subsequence of the item and the words around the
-passage is found; a long one is a copy, a middling one counts if the item's
-answer is there too. An item longer than the longest passage is cut into pieces
+query set) whose cosine with the passage reaches `cosine` are candidates. A
+candidate whose terms around the passage are too few for the shortest
+subsequence that counts is dropped, which loses nothing. For each that is left,
+the longest common subsequence of the item and the words around the passage is
+found; a long one is a copy, a middling one counts if the item's answer is there
+too. An item longer than the longest passage is cut into pieces
 of that length, each looked for by itself; the item is judged as a whole.
 
 Words that more than `common` of the items have are no terms: they tell nothing.
 Items with the same words count once there, and an item left with fewer than FEW
 terms gets its rarest words as terms all the same, so that none goes unsought.
-What is broadcast is made from the benchmark alone.
+What is broadcast is made from the benchmark alone, AT_ONCE items at a time; a
+larger benchmark is looked for in as many rounds as it takes.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,9 +37,9 @@ from . import common as C
 
 STEP = 12  # words between passages; a passage is 2 or 4 steps long
 SCALES = (2, 4)
-TERMS = 0.4  # of the distinct terms of an item or piece, what a candidate passage must hold
+_SIGNS = 8  # 64-bit words of a signature
 FEW = 4  # terms that an item has at least, if it has so many words
-MAX_ITEMS = 1_000_000
+AT_ONCE = 50_000  # items of a round: what is broadcast stays below 100 MB for items of up to 100 words
 
 # letters, digits and all bytes beyond ASCII are words' bytes; the rest is space
 _FOLD = np.full(256, 32, np.uint8)
@@ -58,16 +62,19 @@ class Index:
     tokens: list[np.ndarray]  # hashes of each item's words
     answers: list[np.ndarray]
     terms: np.ndarray  # sorted hashes
-    slots: np.ndarray  # direct table from the low bits of a hash to 1 + its term
+    some: np.ndarray  # by the low bits of a hash: whether a term has them
     pieces: list[tuple[int, int, int]]  # what is looked for: item, its first word, the word after
     scale: np.ndarray  # by piece: index into SCALES
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The term of each word, or -1."""
-        if not len(self.terms):
-            return np.full(len(h), -1)
-        t = self.slots[(h & C.U(len(self.slots) - 1)).astype(np.int64)].astype(np.int64) - 1
-        return np.where((t >= 0) & (self.terms[t] == h), t, -1)
+        out = np.full(len(h), -1)
+        maybe = np.flatnonzero(self.some[(h & C.U(len(self.some) - 1)).astype(np.int64)])
+        if len(maybe):
+            x = h[maybe]
+            t = np.minimum(np.searchsorted(self.terms, x), len(self.terms) - 1)
+            out[maybe] = np.where(self.terms[t] == x, t, -1)
+        return out
 
 
 def index(items: list[tuple[object, str | None, str | None]], common: float = 0.1) -> Index:
@@ -89,17 +96,11 @@ def index(items: list[tuple[object, str | None, str | None]], common: float = 0.
         if len(t) and kept[at].sum() < min(FEW, len(t)):
             rare[at[df[at] <= np.sort(df[at])[min(FEW, len(t)) - 1]]] = True
     terms = term[rare]
-    size = 1 << max(16, int(len(terms) * 16 - 1).bit_length()) if len(terms) else 2
-    slots = np.zeros(size, np.int32)
-    slots[(terms & C.U(size - 1)).astype(np.int64)] = np.arange(1, len(terms) + 1)
-    # terms that lost their slot to another are dropped, so that a look-up is one step
-    alive = slots[(terms & C.U(size - 1)).astype(np.int64)] == np.arange(1, len(terms) + 1)
-    terms = terms[alive]
-    slots[:] = 0
-    slots[(terms & C.U(size - 1)).astype(np.int64)] = np.arange(1, len(terms) + 1)
+    some = np.zeros(1 << max(16, int(len(terms) * 16).bit_length()), bool)
+    some[(terms & C.U(len(some) - 1)).astype(np.int64)] = True
     pieces = [(i, a, b) for i, t in enumerate(tokens) for a, b in _cut(len(t))]
     scale = np.array([int(b - a > 1.3 * SCALES[0] * STEP) for _, a, b in pieces], np.int64)
-    return Index([i for i, _, _ in items], tokens, answers, terms, slots, pieces, scale)
+    return Index([i for i, _, _ in items], tokens, answers, terms, some, pieces, scale)
 
 
 def _cut(n: int) -> list[tuple[int, int]]:
@@ -251,7 +252,80 @@ def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, reach
 
 
-_HITS = "doc_id long, item long, lcs double, cosine double, answer double, begin long"
+class _Bound:
+    """What tells, of many candidates at once, those whose subsequence can't be long enough.
+
+    A subsequence has no more words than the item's own that stand around the
+    passage, and one of the few passages that cover it has its share of these.
+    Terms are counted as bits of signatures: terms that share a bit within an
+    item, and words that are no terms, are taken to be there, so nothing is lost.
+    """
+
+    def __init__(self, ix: Index, wanted: list[np.ndarray], close: float):
+        bit = np.random.default_rng(13).integers(0, 64 * _SIGNS, len(ix.terms) + 1)
+        self.term = np.zeros((len(ix.terms) + 1, _SIGNS), C.U)
+        self.term[np.arange(len(bit)), bit // 64] = C.U(1) << (bit % 64).astype(C.U)
+        self.term[-1] = 0
+        self.size = np.array([len(ix.tokens[i]) for i, _, _ in ix.pieces], np.int64)
+        self.sign = np.zeros((len(wanted), _SIGNS), C.U)
+        self.share, self.all, self.words = np.ones((3, len(wanted)), np.int64)
+        key, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for p, (i, a, b) in enumerate(ix.pieces):
+            t, c = np.unique(ix.find(wanted[p]), return_counts=True)
+            own = t >= 0
+            self.sign[p] = np.bitwise_or.reduce(self.term[t[own]], axis=0) if own.any() else 0
+            key.append(p * (len(ix.terms) + 1) + t[own])
+            weight.append(c[own])
+            if b - a < len(ix.tokens[i]):
+                continue  # an item in pieces is judged as a whole, so a piece need but be touched
+            self.words[p] = words = max(1, math.ceil(close * (b - a) - 1e-9) - int(c[~own].sum()))
+            parts = 2 + -(-3 * (b - a) // (2 * SCALES[ix.scale[p]] * STEP))
+            most = np.cumsum(np.sort(c[own])[::-1])
+            lost = int(own.sum()) - int(np.bitwise_count(self.sign[p]).sum())
+            # the fewest distinct terms that make up so many words, less those that may share a bit
+            self.all[p] = max(1, 1 + np.searchsorted(most, words) - lost)
+            self.share[p] = max(1, 1 + np.searchsorted(most, -(-words // parts)) - lost)
+
+        self.key, self.weight = np.concatenate(key), np.concatenate(weight)
+
+    def exact(self, piece: np.ndarray, left: np.ndarray, right: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Indices of the candidates whose hits from left to right hold as many of the item's words as it takes."""
+        out = [np.empty(0, np.int64)]
+        for lo in range(0, len(piece) if len(self.key) else 0, 1 << 13):
+            p, a, n = piece[lo : lo + (1 << 13)], left[lo : lo + (1 << 13)], (right - left)[lo : lo + (1 << 13)]
+            want = np.repeat(p * len(self.term), n) + C.slices(found, a, a + n)
+            at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            own = np.flatnonzero(self.key[at] == want)
+            pair = np.unique(np.searchsorted(np.cumsum(n), own, "right") * len(self.key) + at[own])
+            got = np.bincount(pair // len(self.key), self.weight[pair % len(self.key)], len(p))
+            out.append(lo + np.flatnonzero(got >= self.words[p]))
+        return np.concatenate(out)
+
+    def blocks(self, found: np.ndarray, own: np.ndarray, n: int) -> list[np.ndarray]:
+        """Signatures of runs of 1, 2, 4, ... blocks from each block."""
+        level = np.zeros((n, _SIGNS), C.U)
+        edge = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+        if len(edge):
+            level[own[edge]] = np.bitwise_or.reduceat(self.term[found], edge, axis=0)
+        out = [level]
+        while 2 ** len(out) <= n:
+            half = 2 ** (len(out) - 1)
+            up = out[-1].copy()
+            up[:-half] |= out[-1][half:]
+            out.append(up)
+        return out
+
+    def enough(self, piece: np.ndarray, least: np.ndarray, runs: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Indices of the candidates whose blocks from begin to end hold `least` of their item's terms."""
+        k = np.log2(np.maximum(end - begin, 1)).astype(np.int64)
+        sign = np.empty((len(piece), _SIGNS), C.U)
+        for level in np.unique(k).tolist():
+            at = np.flatnonzero(k == level)
+            sign[at] = runs[level][begin[at]] | runs[level][end[at] - 2**level]
+        return np.flatnonzero(np.bitwise_count(sign & self.sign[piece]).sum(1, dtype=np.int64) >= least[piece])
+
+
+_HITS = "doc long, body long, item long, lcs double, cosine double, answer double, begin long"
 
 
 def _search(model, cosine: float, copy: float, close: float, answer: float) -> Callable:
@@ -265,17 +339,12 @@ def _search(model, cosine: float, copy: float, close: float, answer: float) -> C
             items[i] = place[ix.find(t)].sum(0)
         norm = np.linalg.norm(items, axis=1, keepdims=True)
         items = np.where(norm > 0, items / np.maximum(norm, 1e-12), 0).astype(np.float32)
-        blank = norm[:, 0] == 0
-        holds = np.zeros((len(wanted), len(ix.terms) + 1), bool)
-        for i, t in enumerate(wanted):
-            holds[i, ix.find(t)] = True
-        holds[:, -1] = False
-        least = np.maximum(np.minimum(2, holds.sum(1)), np.ceil(TERMS * holds.sum(1))).astype(np.int64)
+        bound = _Bound(ix, wanted, close)
         for batch in batches:
             out: dict[tuple, tuple] = {}
             seen: set[tuple] = set()
-            ids = batch.column(0).to_pylist()
-            for lo, _, words, h in folded(batch.column(1)):
+            keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lo, _, words, h in folded(batch.column(2)):
                 if not len(h):
                     continue
                 block, row = _blocks(words)
@@ -285,47 +354,47 @@ def _search(model, cosine: float, copy: float, close: float, answer: float) -> C
                 own = np.searchsorted(block, hit, "right") - 1
                 for c in range(rank):
                     x[:, c] = np.bincount(own, columns[c][found], len(block))
+                runs, edge = bound.blocks(found, own, len(block)), np.searchsorted(row, np.arange(len(words.first)))
                 for s, width in enumerate(SCALES):
-                    mine = np.flatnonzero((ix.scale == s) & ~blank)
+                    mine = np.flatnonzero(ix.scale == s)
                     if not len(mine):
                         continue
                     at = _windows(row, width)
                     start = block[at]
                     stop = np.minimum(start + width * STEP, words.first[row[at] + 1])
-                    x0_all, x1_all = np.searchsorted(hit, start), np.searchsorted(hit, stop)
-                    enough = x1_all - x0_all >= least[mine].min()
-                    at, x0_all, x1_all = at[enough], x0_all[enough], x1_all[enough]
+                    # a passage without a term lies nowhere
+                    some = np.searchsorted(hit, stop) > np.searchsorted(hit, start)
+                    at, start = at[some], start[some]
                     p = _summed(x, row, at, width)
-                    size = np.linalg.norm(p, axis=1, keepdims=True)
-                    p /= np.maximum(size, 1e-12)
+                    p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
                     some_at = max(64, min(1 << 13, (1 << 25) // len(mine)))
                     for k in range(0, len(at), some_at):
-                        like = p[k : k + some_at] @ items[mine].T
-                        w, i = np.divmod(np.flatnonzero(like >= cosine), len(mine))
-                        if not len(w):
-                            continue
-                        # and enough of the item's terms among the passage's
-                        x0, x1 = x0_all[k + w], x1_all[k + w]
-                        some = np.flatnonzero(x1 - x0 >= least[mine[i]])
-                        w, i, x0, x1 = w[some], i[some], x0[some], x1[some]
-                        if not len(w):
-                            continue
-                        flat = C.slices(np.arange(len(hit)), x0, x1)
-                        shared = np.add.reduceat(holds[np.repeat(mine[i], x1 - x0), found[flat]], np.cumsum(x1 - x0) - (x1 - x0), dtype=np.int64)
-                        some = shared >= least[mine[i]]
-                        for w, i in zip(w[some].tolist(), i[some].tolist(), strict=True):
-                            _judge(ix, ix.pieces[mine[i]], words, h, int(block[at[k + w]]), width * STEP, int(row[at[k + w]]), float(like[w, i]), ids[lo + row[at[k + w]]], lo, out, seen, copy, close, answer)
+                        w, i = np.divmod(np.flatnonzero(p[k : k + some_at] @ items[mine].T >= cosine), len(mine))
+                        first, last = at[k + w], np.minimum(at[k + w] + width, edge[row[at[k + w]] + 1])
+                        ok = bound.enough(mine[i], bound.share, runs, first, last)
+                        w, i, first, last = w[ok], i[ok], first[ok], last[ok]
+                        reach, r = -(-bound.size[mine[i]] // STEP), row[first]
+                        ok = bound.enough(mine[i], bound.all, runs, np.maximum(edge[r], first - reach), np.minimum(edge[r + 1], last + reach))
+                        w, i = w[ok], i[ok]
+                        reach, r, b = bound.size[mine[i]], row[at[k + w]], start[k + w]
+                        left = np.searchsorted(hit, np.maximum(words.first[r], b - reach))
+                        ok = bound.exact(mine[i], left, np.searchsorted(hit, np.minimum(words.first[r + 1], b + width * STEP + reach)), found)
+                        w, i = w[ok], i[ok]
+                        like = np.einsum("ij,ij->i", p[k + w], items[mine[i]])
+                        for w, i, c in zip(w.tolist(), i.tolist(), like.tolist(), strict=True):
+                            r = int(row[at[k + w]])
+                            _judge(ix, ix.pieces[mine[i]], words, h, int(start[k + w]), width * STEP, r, c, keys[0][lo + r], keys[1][lo + r], lo, out, seen, copy, close, answer)
             rows = list(out.values())
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item", "lcs", "cosine", "answer", "begin"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc", "body", "item", "lcs", "cosine", "answer", "begin"])
 
     return run
 
 
-def _judge(ix: Index, piece: tuple[int, int, int], words: C.Words, h: np.ndarray, begin: int, width: int, row: int, like: float, doc, lo: int, out: dict, seen: set, copy: float, close: float, answer: float) -> None:
+def _judge(ix: Index, piece: tuple[int, int, int], words: C.Words, h: np.ndarray, begin: int, width: int, row: int, like: float, doc, body: int, lo: int, out: dict, seen: set, copy: float, close: float, answer: float) -> None:
     item = piece[0]
-    if (known := out.get((lo + row, item))) and known[2] >= 0.99:
+    if (known := out.get((lo + row, item))) and known[3] >= 0.99:
         return
     want = ix.tokens[item]
     f, e = int(words.first[row]), int(words.first[row + 1])
@@ -356,33 +425,52 @@ def _judge(ix: Index, piece: tuple[int, int, int], words: C.Words, h: np.ndarray
     told = sum(x in there for x in reply.tolist()) / max(1, len(reply))
     if best >= copy or told >= answer:
         key = (lo + row, item)
-        if key not in out or out[key][2] < best:
-            out[key] = (doc, item, best, like, told, at)
+        if key not in out or out[key][3] < best:
+            out[key] = (doc, body, item, best, like, told, at)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float = 0.4, copy: float = 0.75, close: float = 0.55, answer: float = 0.6, common: float = 0.1) -> DataFrame:
+def _rows(docs: DataFrame, benchmark: DataFrame, rank: int, cosine: float, copy: float, close: float, answer: float, common: float, at_once: int) -> DataFrame:
+    """_HITS of every row of docs, and the item_id of each."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    told = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    bench = benchmark.select("item_id", F.col("text").cast("string").alias("text"), told.alias("answer")).distinct()
+    rounds = max(1, -(-bench.count() // at_once))
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).select("doc", F.xxhash64("text").alias("body"), "text")
+    out = None
+    for k in range(rounds):
+        # equal texts and answers are in one round
+        part = bench.where(F.pmod(F.xxhash64("text", "answer"), F.lit(rounds)) == k) if rounds > 1 else bench
+        rows = part.orderBy("item_id", "text", "answer").collect()
+        # a text under several item_ids is looked for once for each answer, and found for all of them
+        item: dict[tuple, int] = {}
+        at = [item.setdefault((r.text, r.answer), len(item)) for r in rows]
+        ix = index([(i, *x) for x, i in item.items()], common)
+        space = fit_space(d, ix, min(rank, max(1, len(ix.terms))))
+        hits = d.mapInArrow(_search(spark.sparkContext.broadcast((ix, space)), cosine, copy, close, answer), _HITS)
+        names = spark.createDataFrame([(i, r.item_id) for i, r in zip(at, rows, strict=True)], f"item long, item_id {kind}")
+        hits = hits.join(F.broadcast(names), "item")  # one row for each item of the round
+        out = hits if out is None else out.unionAll(hits)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 48, cosine: float = 0.4, copy: float = 0.75, close: float = 0.55, answer: float = 0.6, common: float = 0.1, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, item_id, lcs, cosine, answer, begin): documents that hold an item of benchmark (item_id, text; answer if there is one).
 
     lcs: the share of the item's words in the longest common subsequence with
     some stretch of the document one and a half times as long; answer: the share
     of the answer's words nearby; begin: where about, in words. A pair counts if
     lcs >= copy, or lcs >= close and answer >= `answer`. One row per doc_id and
-    item: the best. Null or empty texts and items match nothing; rows without a
-    doc_id are left out; other columns are ignored.
+    item: the best; of equal ones the first in the text. Null or empty texts and
+    items match nothing; rows without a doc_id are left out; other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    told = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"), told.alias("answer")).distinct().orderBy("item_id", "text", "answer").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    # a text under several item_ids is looked for once for each answer, and found for all of them
-    item: dict[tuple, int] = {}
-    at = [item.setdefault((r.text, r.answer), len(item)) for r in rows]
-    ix = index([(i, *x) for x, i in item.items()], common)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    space = fit_space(d, ix, min(rank, max(1, len(ix.terms))))
-    hits = d.mapInArrow(_search(spark.sparkContext.broadcast((ix, space)), cosine, copy, close, answer), _HITS)
-    names = spark.createDataFrame([(i, r.item_id) for i, r in zip(at, rows, strict=True)], "item long, item_id " + benchmark.schema["item_id"].dataType.simpleString())
-    best = hits.join(F.broadcast(names), "item").groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs", "cosine", "answer", (-F.col("begin")).alias("b"))).alias("x"))
+    hits = _rows(docs, benchmark, rank, cosine, copy, close, answer, common, at_once).where("doc is not null")
+    best = hits.groupBy(F.col("doc").alias("doc_id"), "item_id").agg(F.max(F.struct("lcs", "cosine", "answer", (-F.col("begin")).alias("b"))).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.lcs").alias("lcs"), F.col("x.cosine").alias("cosine"), F.col("x.answer").alias("answer"), (-F.col("x.b")).alias("begin"))
+
+
+def leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc, body): doc_id and xxhash64 of the text of the rows of docs that `contaminated` would find, rows without a doc_id too; each once."""
+    return _rows(docs, benchmark, 48, 0.4, 0.75, 0.55, 0.6, 0.1, AT_ONCE).select("doc", "body").distinct()

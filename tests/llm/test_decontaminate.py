@@ -116,3 +116,26 @@ def test_repeated_items(spark):
     # nothing but one text
     same = spark.createDataFrame([(i, " ".join(one)) for i in range(20)], "item_id long, text string")
     assert {(x.doc_id, x.item_id) for x in D.contaminated(df, same).collect()} == {(d, i) for d in range(10) for i in range(20)}
+
+
+def test_no_term_is_lost():
+    r = random.Random(3)
+    items = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30)), None) for i in range(1000)]
+    ix = D.index(items)
+    assert all((ix.find(t) >= 0).all() for t in ix.tokens)
+
+
+def test_a_benchmark_in_rounds(spark):
+    docs, items, copies, _ = made()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    once, rounds = ({(r.doc_id, r.item_id) for r in D.contaminated(df, bench, at_once=n).collect()} for n in (30, 11))
+    assert copies <= once and copies <= rounds
+
+
+def test_rows_without_an_id_leak_too(spark):
+    docs, items, _, _ = made()
+    df = spark.createDataFrame([(None, items[0][1]), (1, items[0][1]), (1, "nothing of it"), (2, None), (3, "")], "doc_id long, text string")
+    got = D.leaking(df, spark.createDataFrame(items, "item_id long, text string"))
+    bodies = {r.h for r in df.where("length(text) > 20").selectExpr("xxhash64(text) as h").collect()}
+    assert {(r.doc, r.body) for r in got.collect()} == {(d, b) for d in (None, 1) for b in bodies}
