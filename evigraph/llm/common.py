@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at a time.
 PIECE = 1 << 20
+#: Bytes of a word up to which its hash is a polynomial.
+LONG = 64
 #: A word, as the contracts define it, for Java, RE2 and Python regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,6 +85,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "16m")
 
 
+def scanned(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns to keep, under names of their own, and the text last."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("_scanned"))
+
+
+def renamed(out: DataFrame, keep: tuple[str, ...], results: tuple[str, ...]) -> DataFrame:
+    """Kept columns by their names; a kept column named like a result gives way to it."""
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep) if c not in results], *results)
+
+
 # -------------------------------------------------------------- word kernels
 
 
@@ -165,14 +177,16 @@ class Words:
         return self
 
     def hashes(self) -> np.ndarray:
-        """64 bits for each word, a function of its bytes alone."""
+        """64 bits for each word, a function of its bytes alone.
+
+        A polynomial modulo 2^64 for words of up to LONG bytes; beyond, there are words that any such polynomial confuses, so those take a cryptographic hash.
+        """
         out = np.empty(len(self), U)
         i = 0
         while i < len(self):
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + PIECE, "right")))
             lo, hi = self.starts[i], self.ends[j - 1]
             if hi - lo > PIECE:
-                out[i] = int.from_bytes(hashlib.blake2b(self.buf[lo:hi].tobytes(), digest_size=8).digest(), "little")
                 i += 1
                 continue
             up, down = _BYTE(hi - lo + 1)
@@ -181,6 +195,8 @@ class Words:
             s = self.starts[i:j] - lo
             out[i:j] = mix((c[self.ends[i:j] - lo] - c[s]) * down[s])
             i = j
+        for i in np.flatnonzero(self.ends - self.starts > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.buf[self.starts[i] : self.ends[i]].tobytes(), digest_size=8).digest(), "little")
         return out
 
     def grams(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

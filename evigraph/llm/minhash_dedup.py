@@ -39,6 +39,7 @@ T = 64  # tokens of a sketch
 BRANCH = 0.7
 LEAF = 100
 LEVELS = 6
+COMPARED = 8 << 20  # bytes of folded texts that a task's group compares
 
 
 def recall_at(similarity: float, trees: int, again: int, level: int) -> float:
@@ -278,14 +279,20 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: int
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: float = 0.9999) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text), as `grouped` has them."""
+    return grouped(docs, k, percent, recall).select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, k: int = 5, percent: int = 75, recall: float = 0.9999) -> DataFrame:
+    """(doc, body, n_shingles, component_id, kept) for every row of docs (doc_id, text): doc is its doc_id, body the xxhash64 of its text.
 
     A-Z is lower-cased; a set is the distinct shingles of `k` words, or the whole
     sequence if there are fewer words; sets link if 100 * intersection >= percent
-    * union. A null or empty text has an empty set and links with nothing. Rows
-    that share a doc_id are told apart by their texts and each get a result row. A null
-    doc_id links with nothing and gets null as its component. Other columns are
-    ignored; no rows, no result.
+    * union, so a pair at exactly that share links. A null or empty text has an
+    empty set and links with nothing. Rows that share a doc_id are told apart by
+    their texts and each get a result row. A null doc_id links with nothing, gets
+    null as its component and is kept. Other columns are ignored; no rows, no
+    result.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
@@ -307,7 +314,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
     # full texts of every class that shares a node, moved once
     those = member.select("id").distinct().join(classes.select("id", "doc", "body"), "id")
     wanted = docs.withColumnRenamed("id", "doc").join(those, ["doc", "body"]).select("id", "text")
-    texts = C.settle(wanted.mapInArrow(_fold, "id long, folded binary").dropDuplicates(["id"]), f"{base}/texts")
+    texts = wanted.mapInArrow(_fold, "id long, folded binary").dropDuplicates(["id"])
+    texts = C.settle(texts.withColumn("size", F.length("folded").cast("long")), f"{base}/texts")
 
     first = member.where("id <> low").join(classes.select(F.col("id").alias("low"), F.col("n").alias("m")), "low")
     first = first.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").selectExpr("least(id, low) as a", "greatest(id, low) as b")
@@ -342,11 +350,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
     left = dense.where("odd").selectExpr("c", "id", "pmod(h, odds) as x", "explode(sequence(0L, all - 1)) as y")
     right = dense.selectExpr("c", "id", "explode(sequence(0L, odds - 1)) as x", "pmod(h, all) as y")
     found = found.unionAll(left.unionAll(right).select(F.xxhash64("c", "x", "y", F.lit("dense")).alias("node"), "id").distinct())
-    groups = 16 * C.shuffle_partitions(spark)
-    met = found.join(texts, "id").select(F.pmod("node", F.lit(groups)).alias("bucket"), "node", "id", "folded")
+    found = C.settle(found, f"{base}/found")
+    # as many groups as keep the texts of one within COMPARED bytes, but for a node of larger texts
+    total = found.join(texts.select("id", "size"), "id").agg(F.sum("size")).first()[0] or 0
+    groups = max(16 * C.shuffle_partitions(spark), -(-total // COMPARED))
+    met = found.join(texts.select("id", "folded"), "id").select(F.pmod("node", F.lit(groups)).alias("bucket"), "node", "id", "folded")
     more = C.settle(met.groupBy("bucket").applyInArrow(_compare(k, percent), "a long, b long").distinct(), f"{base}/second")
     comp = C.components(links.unionAll(more))
-    C.discard(spark, f"{base}/texts")
+    for name in ("texts", "found", "dense", "members", "first", "second", *(f"level{i}" for i in range(1, LEVELS + 1))):
+        C.discard(spark, f"{base}/{name}")
 
     # classes are named by hashes; a component is called after its smallest doc_id
     named = comp.join(classes.select("id", "doc"), "id")
@@ -354,6 +366,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, recall: floa
     low = named.join(low, "component").select("id", "low")
     label = classes.select("print", "id", "doc").join(low, "id", "left").selectExpr("print", "coalesce(low, doc) as low")
     label = C.settle(label, f"{base}/labels")
-    out = all_sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("print")).alias("print"))
-    out = out.join(label, "print", "left").selectExpr("doc_id", "n_shingles", "coalesce(low, doc_id) as component_id")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    C.discard(spark, f"{base}/classes")
+    out = all_sets.select(F.col("id").alias("doc"), "body", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("print")).alias("print"))
+    out = out.join(label, "print", "left").selectExpr("doc", "body", "n_shingles", "coalesce(low, doc) as component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)))

@@ -454,12 +454,14 @@ def find(docs: DataFrame, *keep: str, field: Field | None = None) -> DataFrame:
 
     spans lists kind:start:end in code points, by start and then kind; those of
     the patterns, and those of the field that overlap none of them. A null or
-    empty text has none. Repeated rows are kept, other columns ignored.
+    empty text has none. Repeated rows are kept, other columns ignored; a kept
+    column that is named like a result is replaced by it.
     """
     C.small_batches(docs.sparkSession)
-    d = docs.select(*keep, F.col("text").cast("string").alias("_scanned"))
+    d = C.scanned(docs, keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in d.drop("_scanned").schema] + [_FOUND])
-    return d.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(field or default_field())), schema)
+    out = d.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(field or default_field())), schema)
+    return C.renamed(out, keep, ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"))
 
 
 def _mask_texts(model, at: int) -> Callable:
@@ -485,7 +487,11 @@ def _mask_texts(model, at: int) -> Callable:
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """docs with every span of `find` in text replaced by its kind in brackets; all columns and rows stay."""
+    """docs with every span of `find` in text replaced by its kind in brackets.
+
+    All columns and rows stay as they are, repeated ones too; of spans that
+    overlap the first is replaced. A null text stays null.
+    """
     C.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(field or default_field())
     return docs.mapInArrow(_mask_texts(model, docs.columns.index("text")), docs.schema)

@@ -92,3 +92,11 @@ def test_pairs_that_meet_at_the_last_level_only():
             a, b = ({*zip(node[x].tolist(), (who[x] % 100).tolist())} for x in (who < 100, who >= 100))
             met |= {lo + i for _, i in a & b}
     assert len(met) >= 999
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    """A Thue-Morse word and its complement are equal under every polynomial hash modulo 2^64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r for r in M.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}
+    assert got[1].kept and got[2].kept and got[2].component_id == 2
