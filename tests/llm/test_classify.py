@@ -59,3 +59,24 @@ def test_toxicity(spark):
     assert max(r.score for r in got if r.doc_id == 901) > 0.5
     nobody = classify.toxicity_of(df, labels.limit(0)).collect()
     assert {r.predicted for r in nobody} == {0}
+
+
+def test_a_repeated_text_counts_once(spark):
+    """One text repeated 3,000 times, whichever its hash, takes one place in the sample, and each label has its own."""
+    rows = [(i, f"text number {i}", "en" if i % 100 else "xx") for i in range(3000)]
+    least = min(spark.createDataFrame(rows, "id long, text string, lang string").selectExpr("text", "xxhash64(text) as h").collect(), key=lambda r: r.h).text
+    df = spark.createDataFrame(rows + [(5000 + i, least, "en") for i in range(3000)] + [(None, None, "en"), (None, least, None)], "doc_id long, text string, lang string").repartition(4)
+    h = df.selectExpr("doc_id as id", "xxhash64(text) as h", "lang as y", "text").where("text is not null")
+    got = classify.sample(h.select("id", "h", "text"), h.select("id", "h", "y"), lambda labels: 100 // labels)
+    texts = [r.text for r in got]
+    assert len(set(texts)) == len(texts) and least in texts
+    assert sum(r.y == "xx" for r in got) == 30 and sum(r.y == "en" for r in got) == 50
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a fine day", "q", "s", True)] * 2, "doc_id long, text string, lang_pred string, score string, accepted boolean")
+    model = subword.fit(["a fine day", "you idiot"], [0, 1], subword.Bags(), dim=4)
+    out = classify.less_toxic(df, model, 2.0)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [tuple(r) for r in df.collect()]
+    assert classify.toxicity(df, model, *df.columns).columns == ["doc_id", "text", "lang_pred", "accepted", "score"]
+    assert classify.identify(df, model, *df.columns).columns == ["doc_id", "text", "lang_pred", "score", "accepted"]
