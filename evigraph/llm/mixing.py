@@ -2,14 +2,16 @@
 
 The words of a source, document after document, are packed into blocks of
 `block` words. Every output shard draws multinomial counts over the sources from
-what is left of their quotas, so a shard is random and the whole is on target.
-A source's draws are numbered through all shards; draw i takes the block that a
+what is left of their quotas, so a shard is random and the whole is on target:
+the shards are the leaves of a tree, each node of which draws, by its own seed,
+what its left half takes of its quotas. A task walks the tree to its own shards
+alone, so no table of shards is ever made. A source's draws are numbered through all shards; draw i takes the block that a
 keyed pseudorandom permutation of the source's block indices (a new one for each
 pass over the source) has at i. Blocks are then joined by source and index.
 
 No source is gathered anywhere: a document's place in its source is the sum of
 the buckets before its own plus the documents before it in its bucket. One row
-per source, and one per source and shard, are on the driver.
+per source is on the driver and broadcast, at most MAX_SOURCES of them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,6 @@ from . import common as C
 
 BUCKETS = 4096  # a source's documents are ordered within so many buckets
 MAX_SOURCES = 1_000_000
-MAX_SHARDS = 4096
 _WEIGHTS = (1, 2, 3)  # in turn, over the sources by name
 
 
@@ -47,19 +49,37 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
     return out
 
 
-def draw(quotas: np.ndarray, per_shard: int, seed: int) -> np.ndarray:
-    """counts[shard, source]: multinomial by what is left of each quota; columns sum to the quotas."""
-    rng, left, rows = np.random.default_rng(seed), quotas.astype(np.int64).copy(), []
-    while left.sum():
-        n = min(per_shard, int(left.sum()))
-        got = np.zeros_like(left)
-        while n:
-            room = left - got
-            got += np.minimum(rng.multinomial(n, room / room.sum()), room)
-            n = min(per_shard, int(left.sum())) - int(got.sum())
-        rows.append(got)
-        left -= got
-    return np.array(rows, np.int64).reshape(-1, len(quotas))
+def _share(quotas: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
+    """n of the quotas: multinomial counts by what is left of each, none above its quota."""
+    rng, got = np.random.default_rng(seed), np.zeros_like(quotas)
+    while n:
+        room = quotas - got
+        more = np.minimum(rng.multinomial(n, room / room.sum()), room)
+        got += more
+        n -= int(more.sum())
+    return got
+
+
+def draws(quotas: np.ndarray, per_shard: int, seed: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, sources, their counts, what earlier shards took of them) of the shards from first to last.
+
+    All shards but the last hold per_shard; the counts of a source add up to its quota.
+    """
+    shards = -(-int(quotas.sum()) // per_shard)
+    some = np.flatnonzero(quotas)
+    todo = [(0, shards, some, quotas[some], np.zeros(len(some), np.int64))] if shards else []
+    while todo:
+        lo, hi, who, left, taken = todo.pop()
+        if hi <= first or lo >= last:
+            continue
+        if hi - lo == 1:
+            yield lo, who, left, taken
+            continue
+        mid = (lo + hi) // 2
+        got = _share(left, (mid - lo) * per_shard, [seed, lo, hi])
+        rest = left - got
+        a, b = got > 0, rest > 0
+        todo += [(mid, hi, who[b], rest[b], (taken + got)[b]), (lo, mid, who[a], got[a], taken[a])]
 
 
 def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -78,17 +98,22 @@ def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(seed: int) -> Callable:
+def _slots(sources: Broadcast, per_shard: int, seed: int) -> Callable:
+    """From consecutive shard numbers, the shards' slots."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        quotas, blocks = sources.value
+        one = lambda x: C.mix(np.array([x], C.U))[0]
         for batch in batches:
-            for shard, rank, count, begin, blocks, ahead, size in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                for lo in range(0, count, 1 << 16):
-                    i = np.arange(lo, min(count, lo + (1 << 16)), dtype=np.int64)
-                    turn = begin + i
-                    key = C.mix((turn // blocks).astype(C.U) + C.U(rank << 32) + C.mix(np.array([seed], C.U))[0])
-                    index = permuted(turn % blocks, np.full(len(i), blocks), key)
-                    place = permuted(ahead + i, np.full(len(i), size), np.full(len(i), C.mix(np.array([seed + 1 + (shard << 20)], C.U))[0]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), x, np.int64)) for x in (shard, rank)] + [pa.array(index), pa.array(place)], ["shard", "rank", "block", "place"])
+            ids = batch.column(0).to_numpy()
+            for shard, who, counts, begin in draws(quotas, per_shard, seed, int(ids.min()), int(ids.max()) + 1) if len(ids) else ():
+                rank = np.repeat(who, counts)
+                size, within = len(rank), np.arange(len(rank)) - np.repeat(np.cumsum(counts) - counts, counts)
+                turn, n = np.repeat(begin, counts) + within, blocks[rank]
+                key = C.mix((turn // n).astype(C.U) + (rank.astype(C.U) << C.U(32)) + one(seed))
+                index = permuted(turn % n, n, key)
+                place = permuted(np.arange(size), np.full(size, size), np.full(size, one(seed + 1 + (shard << 20))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, shard, np.int64)), pa.array(rank), pa.array(index), pa.array(place)], ["shard", "rank", "block", "place"])
 
     return run
 
@@ -110,17 +135,18 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """docs with source_size, target and taken: the words that the mix takes, repeats counted."""
-        times = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-        took = self.pieces().join(times, ["rank", "block"]).groupBy("rank", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        # all three grow with the documents, so none is ever broadcast
+        times = self.slots.groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
+        took = self.pieces().join(times, ["rank", "block"]).groupBy("rank", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("taken")).hint("merge")
         out = self.docs.withColumn("begin", F.when(F.col("size") > 0, F.col("begin"))).join(took, ["rank", "begin"], "left")
         return out.join(F.broadcast(self.sources.select("rank", "source_size", "target")), "rank").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
     def texts(self) -> DataFrame:
         """(shard, place, rank, text): the mixed blocks themselves, words joined by spaces."""
         words = self.docs.select("rank", "begin", F.regexp_extract_all("text", F.lit(C.WORD), F.lit(0)).alias("w"))
-        part = self.pieces().join(words, ["rank", "begin"]).withColumn("t", F.array_join(F.slice("w", F.col("at").cast("int") + 1, F.col("words").cast("int")), " "))
+        part = self.pieces().join(words.hint("merge"), ["rank", "begin"]).withColumn("t", F.array_join(F.slice("w", F.col("at").cast("int") + 1, F.col("words").cast("int")), " "))
         block = part.groupBy("rank", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "t"))), lambda x: x["t"]), " ").alias("text"))
-        return self.slots.join(block, ["rank", "block"]).select("shard", "place", "rank", "text")
+        return self.slots.join(block.hint("merge"), ["rank", "block"]).select("shard", "place", "rank", "text")
 
 
 def mix(docs: DataFrame, block: int = 64, weights: tuple[float, ...] = _WEIGHTS, most: float = 3.0, per_shard: int = 8192, seed: int = 1, text: bool = True) -> Mix:
@@ -136,7 +162,7 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[float, ...] = _WEIGHTS,
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     d = d.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(C.WORD)), F.lit(0)).cast("long")).withColumn("tie", F.xxhash64("text"))
     base = C.scratch(spark)
-    sized = C.settle(d.select("doc_id", "source", "size", "tie").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))), f"{base}/sized")
+    sized = C.settle(d.select("doc_id", "source", "size", "tie").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(BUCKETS))), f"{base}/sized")
     totals = C.settle(sized.groupBy("source", "bucket").agg(F.sum("size").alias("n")), f"{base}/totals")
     rows = totals.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -146,19 +172,17 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[float, ...] = _WEIGHTS,
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], most)
     blocks = np.array([-(-n // block) for n in sizes], np.int64)
     quotas = np.array([round(t * b / n) if n else 0 for t, b, n in zip(goal, blocks.tolist(), sizes, strict=True)], np.int64)
-    per_shard = max(per_shard, -(-int(quotas.sum()) // MAX_SHARDS)) if len(rows) else per_shard
-    counts = draw(quotas, per_shard, seed) if len(rows) else np.zeros((0, 0), np.int64)
-    ahead, begin = np.cumsum(counts, 1) - counts, np.cumsum(counts, 0) - counts
-    s, r = np.nonzero(counts)
-    plan = pa.table({"shard": s, "rank": r, "count": counts[s, r], "begin": begin[s, r], "blocks": blocks[r] if len(rows) else r, "ahead": ahead[s, r], "size": counts.sum(1)[s] if len(rows) else s})
     table = spark.createDataFrame([(r.source, i, r.n, t) for i, (r, t) in enumerate(zip(rows, goal, strict=True))], "source string, rank long, source_size long, target double")
-    fields = "shard long, rank long, count long, begin long, blocks long, ahead long, size long"
-    drawn = spark.createDataFrame(plan.to_pylist(), fields).repartition(max(1, min(len(counts), C.shuffle_partitions(spark))))
-    slots = drawn.mapInArrow(_slots(seed), "shard long, rank long, block long, place long")
+    shards = -(-int(quotas.sum()) // per_shard) if len(rows) else 0
+    own = spark.sparkContext.broadcast((quotas, blocks))
+    slots = spark.range(0, shards, 1, max(1, min(shards, C.shuffle_partitions(spark)))).mapInArrow(_slots(own, per_shard, seed), "shard long, rank long, block long, place long")
     before = totals.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("n")
+    # equal rows stand for each other: they are put in order once, with their number
+    same = sized.groupBy("source", "bucket", "doc_id", "size", "tie").agg(F.count("*").alias("copies"))
     along = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("within", F.coalesce(F.sum("size").over(along), F.lit(0)))
-    b = before.withColumnsRenamed({"source": "s2", "bucket": "b2"})
+    placed = same.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(along), F.lit(0)))
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("within", F.col("within") + F.col("size") * F.col("copy"))
+    b = before.withColumnsRenamed({"source": "s2", "bucket": "b2"}).hint("merge")
     placed = placed.join(b, placed.source.eqNullSafe(b.s2) & (placed.bucket == b.b2)).withColumn("begin", F.col("within") + F.coalesce("before", F.lit(0)))
     t = table.select(F.col("source").alias("s3"), "rank")
     placed = placed.join(F.broadcast(t), placed.source.eqNullSafe(t.s3)).select("doc_id", "source", "size", "tie", "rank", "begin")

@@ -15,8 +15,17 @@ def test_permutations_and_draws():
         for key in (1, 9):
             got = M.permuted(np.arange(n), np.full(n, n), np.full(n, key, np.uint64))
             assert sorted(got.tolist()) == list(range(n))
-    counts = M.draw(np.array([5, 0, 900, 40]), 100, 3)
-    assert counts.sum(0).tolist() == [5, 0, 900, 40] and (counts.sum(1)[:-1] == 100).all() and (counts >= 0).all()
+    quotas = np.array([5, 0, 900, 40])
+    whole = list(M.draws(quotas, 100, 3, 0, 10**9))
+    counts = np.zeros((len(whole), 4), int)
+    for shard, who, got, before in whole:
+        assert (before == counts[:shard].sum(0)[who]).all() and (got > 0).all()
+        counts[shard, who] = got
+    assert counts.sum(0).tolist() == [5, 0, 900, 40] and (counts.sum(1)[:-1] == 100).all()
+    # a task that walks to some shards finds what the walk to all finds
+    parts = [x for lo in range(0, 12, 3) for x in M.draws(quotas, 100, 3, lo, lo + 3)]
+    assert [(s, w.tolist(), g.tolist(), t.tolist()) for s, w, g, t in parts] == [(s, w.tolist(), g.tolist(), t.tolist()) for s, w, g, t in whole]
+    assert list(M.draws(np.zeros(0, int), 100, 3, 0, 9)) == []
 
 
 def rows():
@@ -58,3 +67,12 @@ def test_mix(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(df).taken().collect() == []
+
+
+def test_clashing_columns_null_ids_and_repeats(spark):
+    rows = [(None, "a b c", "x")] * 50 + [(7, "d e", "x")] * 3 + [(None, None, None)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, rank int, begin int")
+    got = M.mix(df, block=4, per_shard=8).taken().collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    assert sum(r.size for r in got) == 156 and {r.source_size for r in got if r.source == "x"} == {156}
+    assert M.mix(df.limit(0)).taken().collect() == []
