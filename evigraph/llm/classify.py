@@ -38,21 +38,21 @@ def sample(docs: DataFrame, marks: DataFrame, quota: dict | Callable[[int], int]
     narrow rows; only the texts picked leave their tasks. quota: by label, or of
     the number of labels for each of them.
     """
-    one = marks.where("y is not null and h is not null").groupBy("y", "h").agg(F.min("id").alias("id"))
-    if not isinstance(quota, dict):
-        each = quota(one.agg(F.count_distinct("y")).first()[0])
-        cut = F.lit(each)
-    else:
-        cut = F.lit(0)
-        for y, n in quota.items():
-            cut = F.when(F.col("y") == y, n).otherwise(cut)
-    most = each if not isinstance(quota, dict) else max(quota.values())
+    spark = docs.sparkSession
+    one = C.settle(marks.where("y is not null and h is not null").groupBy("y", "h").agg(F.min("id").alias("id")), f"{C.scratch(spark)}/marks")
+    counts = one.groupBy("y").count().collect()  # one row for each label
+    quotas = {r.y: quota.get(r.y, 0) if isinstance(quota, dict) else quota(len(counts)) for r in counts}
+    # hashes are uniform: twice the quota lies below this, so that only as many rows are put in order
+    cuts = [(r.y, n, min(2**63 - 1, int(2**64 * min(1.0, 2 * n / r["count"])) - 2**63)) for r in counts if (n := quotas[r.y])]
+    if not cuts:
+        return []
+    kind = one.schema["y"].dataType.simpleString()
+    below = one.join(F.broadcast(spark.createDataFrame(cuts, f"y {kind}, quota long, cut long")), "y").where("h <= cut")
     w = Window.partitionBy("y").orderBy("h")
-    # the first limit is a constant, so that each task keeps no more before the shuffle
-    picked = one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).where(F.col("r") <= cut).drop("r").collect()
+    picked = below.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("quota")).select(*one.columns).collect()
     if not picked:
         return []
-    those = docs.sparkSession.createDataFrame(picked, one.schema)
+    those = spark.createDataFrame(picked, one.schema)
     those = those.select(*[F.col(c).alias(f"{c}_") for c in those.columns])
     # as many rows as the quotas allow
     full = docs.join(F.broadcast(those), docs.id.eqNullSafe(F.col("id_")) & (docs.h == F.col("h_")))
