@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import bfs, degrees
+from .graph import bfs, confident, degrees
 
 # Weights of the published scores.
 COUPLING = {"cross_community": 0.45, "cross_language": 0.35, "periphery_to_hub": 0.20}
@@ -75,11 +75,18 @@ def thin_communities(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return c.join(F.broadcast(cut)).where("members <= size_cut and density <= density_cut").select("c", "members", "internal", "density")
 
 
-def dead(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, lines, outbound): nodes that nothing else refers to."""
+# Names that a runtime looks for by itself.
+ENTRY_NAMES = ["main", "__main__"]
+
+
+def dead(nodes: DataFrame, edges: DataFrame, tests: DataFrame | None = None) -> DataFrame:
+    """(id, lines, outbound): nodes that nothing else refers to, but for entry points by name and for tests (o)."""
     e = edges.where("s <> o")
     out = e.groupBy(F.col("s").alias("id")).agg(F.count_distinct("o").alias("outbound"))
-    return nodes.select("id", "lines").join(e.select(F.col("o").alias("id")).distinct(), "id", "left_anti").join(out, "id", "left").na.fill(0, ["outbound"])
+    n = nodes.where(~F.coalesce(F.lower("name").isin(ENTRY_NAMES), F.lit(False))) if "name" in nodes.columns else nodes
+    if tests is not None:
+        n = n.join(tests.select(F.col("o").alias("id")).distinct(), "id", "left_anti")
+    return n.select("id", "lines").join(e.select(F.col("o").alias("id")).distinct(), "id", "left_anti").join(out, "id", "left").na.fill(0, ["outbound"])
 
 
 def large(nodes: DataFrame, least: int) -> DataFrame:
@@ -106,16 +113,10 @@ def component_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("s_path").alias("source"), F.col("o_path").alias("target")).agg(F.count("*").alias("n"), F.sum(F.expr("cast(s_language <> o_language as long)")).alias("cross_language"))
 
 
-def _spread_rank(column: str):
-    w = Window.orderBy(column)
-    every = Window.partitionBy()
-    return F.when(F.min(column).over(every) == F.max(column).over(every), 0.0).otherwise(F.round(F.cume_dist().over(w), 6))
-
-
-def risk(nodes: DataFrame, edges: DataFrame, tests: DataFrame, partition: DataFrame, entries: DataFrame, depth: int = 3) -> DataFrame:
+def risk(nodes: DataFrame, edges: DataFrame, tests: DataFrame, partition: DataFrame, entries: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, score, level): five weighted factors, ranks among all nodes where a factor is a count.
 
-    Reach is the number of entry points (root) that get to a node within `depth` calls.
+    Reach is the number of entry points (root) that get to a node, within `depth` calls if given.
     The ranks are taken over counts, of which there are few: the counts of
     values are aggregated before they are put in order.
     """
@@ -144,22 +145,35 @@ def risk(nodes: DataFrame, edges: DataFrame, tests: DataFrame, partition: DataFr
     return x.join(F.broadcast(cuts)).select("id", "score", level.alias("level"))
 
 
+def _upto(x: DataFrame, column: str) -> DataFrame:
+    """(column, upto): the share of rows at or below each value; values are counted before they are put in order."""
+    n = x.groupBy(column).agg(F.count("*").alias("k"))
+    ranked = n.withColumn("upto", F.sum("k").over(Window.orderBy(column)) / F.sum("k").over(Window.partitionBy()))
+    return ranked.select(column, "upto")
+
+
 def impact(nodes: DataFrame, edges: DataFrame, seed: DataFrame, depth: int = 3) -> DataFrame:
-    """(node, distance, score) of what depends on the seed (root): nearness, and size by rank among the impacted."""
-    hit = bfs(edges, seed, depth, "in").where("distance > 0").groupBy("node").agg(F.min("distance").alias("distance"))
+    """(node, distance, score) of what depends on the seed (root): nearness, the confidence of the way there, and size by rank among the impacted.
+
+    The weights of edges (s, o, w) are confidences up to 1.
+    """
+    hit = confident(edges, seed, depth, "in").where("distance > 0")
     x = hit.join(nodes.select(F.col("id").alias("node"), "lines"), "node")
-    size = F.round(IMPACT["size"] * F.cume_dist().over(Window.orderBy("lines")), 4)  # the impacted of one seed
-    score = F.round(F.round(IMPACT["distance"] / (1 + F.col("distance")), 4) + F.round(F.lit(IMPACT["confidence"]), 4) + size, 4)
-    return x.select("node", "distance", score.alias("score"))
+    x = x.join(_upto(x, "lines"), "lines")
+    part = lambda v: F.round(v, 4)
+    score = part(IMPACT["distance"] / (1 + F.col("distance"))) + part(IMPACT["confidence"] * F.col("confidence")) + part(IMPACT["size"] * F.col("upto"))
+    return x.select("node", "distance", F.round(score, 4).alias("score"))
 
 
 def move_suggestions(edges: DataFrame, partition: DataFrame, least: int = 3) -> DataFrame:
-    """(node, own, other, pull): nodes more than half of whose neighbours, three or more, are in one other community."""
+    """(node, own, other, pull): nodes more than half of whose neighbours, three or more, are in one other community, with a pull of the 75th percentile or more."""
     p = lambda n: partition.select(F.col("node").alias(n), F.col("c").alias(f"c_{n}"))
     near = edges.select("s", "o").unionAll(edges.selectExpr("o", "s")).where("s <> o").distinct().join(p("s"), "s").join(p("o"), "o")
     by = near.groupBy("s", "c_s", "c_o").agg(F.count("*").alias("k"))
     per = by.groupBy("s", "c_s").agg(F.sum("k").alias("n"), F.max(F.when(F.col("c_o") != F.col("c_s"), F.struct("k", "c_o"))).alias("top")).where(f"n >= {least} and top is not null")
-    return per.select(F.col("s").alias("node"), F.col("c_s").alias("own"), F.col("top.c_o").alias("other"), F.round(F.col("top.k") / F.col("n"), 6).alias("pull")).where("pull > 0.5")
+    per = per.select(F.col("s").alias("node"), F.col("c_s").alias("own"), F.col("top.c_o").alias("other"), F.round(F.col("top.k") / F.col("n"), 6).alias("pull"))
+    cut = per.agg(nearest_rank(0.75, "pull").alias("cut"))
+    return per.join(F.broadcast(cut)).where("pull > 0.5 and pull >= cut").drop("cut")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -188,3 +202,112 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) of manifests (path, sha)."""
     d = before.withColumnRenamed("sha", "x").join(after.withColumnRenamed("sha", "y"), "path", "full")
     return d.select("path", F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(F.col("x") == F.col("y"), "unchanged").otherwise("changed").alias("change"))
+
+
+# ------------------------------------------------------------------- reports
+
+# Shares of a flow's criticality, and the bonus of a flow that no test touches.
+FLOW = {"depth": 0.25, "fan_in": 0.35, "files": 0.20, "confidence": 0.20}
+UNTESTED = 0.15
+# How much attention each category of review question deserves.
+ATTENTION = {"chokepoint": 1.0, "untested_hotspot": 0.9, "unexpected_coupling": 0.8, "hub": 0.7, "bridge": 0.6, "thin_community": 0.4, "isolated": 0.3}
+
+
+def flow_criticality(nodes: DataFrame, edges: DataFrame, tests: DataFrame, seed: DataFrame, depth: int = 6) -> DataFrame:
+    """(path, depth, fan_in, files, tested, criticality) of the flows from the seed (root).
+
+    A flow is a simple forward path that ends at `depth` calls or where nothing
+    new is called. Depth, largest fan-in and files rank among the flows; weights
+    of edges (s, o, w) are confidences up to 1.
+    """
+    now = seed.select(F.array("root").alias("p"), F.col("root").alias("node"), F.lit(0.0).alias("sum"))
+    out = None
+    for k in range(depth + 1):
+        if k < depth:
+            step = now.join(edges.select("s", "o", "w"), now.node == F.col("s"), "left").withColumn("on", F.coalesce(F.array_contains("p", F.col("o")), F.lit(True)))
+            some = step.where("not on").select("p").distinct()
+            done = now.join(some, "p", "left_anti")
+        else:
+            done = now
+        done = done.select("p", "sum")
+        out = done if out is None else out.unionAll(done)
+        if k < depth:
+            now = step.where("not on").select(F.concat("p", F.array("o")).alias("p"), F.col("o").alias("node"), (F.col("sum") + F.col("w")).alias("sum"))
+    fan = degrees(edges).select(F.col("node").alias("id"), "fan_in")
+    tested = tests.select(F.col("s").alias("id"), F.lit(1).alias("tested")).distinct()
+    about = nodes.select("id", "path").join(fan, "id", "left").join(tested, "id", "left").na.fill(0, ["fan_in", "tested"]).withColumnRenamed("path", "file")
+    steps = out.select("p", "sum", F.explode("p").alias("id")).join(about, "id")
+    flows = steps.groupBy("p", "sum").agg(F.max("fan_in").alias("fan_in"), F.count_distinct("file").alias("files"), (F.max("tested") > 0).alias("tested"))
+    flows = flows.withColumn("depth", (F.size("p") - 1).cast("long")).withColumn("sure", F.when(F.col("depth") > 0, F.col("sum") / F.col("depth")).otherwise(1.0))
+    score = F.round(FLOW["confidence"] * F.col("sure"), 4) + F.when(F.col("tested"), 0.0).otherwise(UNTESTED)
+    for c in ("depth", "fan_in", "files"):
+        flows = flows.join(_upto(flows, c).withColumnRenamed("upto", f"{c}_upto"), c)
+        score = score + F.round(FLOW[c] * F.col(f"{c}_upto"), 4)
+    path = F.array_join(F.transform("p", lambda x: x.cast("string")), ">")
+    return flows.select(path.alias("path"), "depth", F.col("fan_in").cast("long").alias("fan_in"), "files", "tested", F.round(score, 4).alias("criticality"))
+
+
+def blast_radius_of_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 10) -> DataFrame:
+    """(path, node, distance): what depends on the symbols of each file (path), without the file's own."""
+    own = nodes.join(files, "path").select("path", "id")
+    hit = bfs(edges, own.select(F.col("id").alias("root")).distinct(), depth, "in")
+    near = own.join(hit.withColumnRenamed("root", "id"), "id").groupBy("path", "node").agg(F.min("distance").alias("distance"))
+    return near.join(own.select("path", F.col("id").alias("node")), ["path", "node"], "left_anti")
+
+
+def affected_entries(edges: DataFrame, changed: DataFrame, entries: DataFrame, depth: int = 4) -> DataFrame:
+    """(entry, node, distance): entry points (root) from which a changed node (root) is reached within `depth` calls."""
+    hit = bfs(edges, changed, depth, "in")
+    return hit.join(entries.select(F.col("root").alias("node")), "node").select(F.col("node").alias("entry"), F.col("root").alias("node"), "distance")
+
+
+def agreement(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row (hit, precision, recall, f1) of predicted pairs against true ones (a, b)."""
+    p, t = predicted.select("a", "b").distinct(), truth.select("a", "b").distinct()
+    n = p.withColumn("p", F.lit(1)).join(t.withColumn("t", F.lit(1)), ["a", "b"], "full").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in ((F.col("p") * F.col("t"), "hit"), (F.col("p"), "np"), (F.col("t"), "nt"))])
+    ratio = lambda x, y: F.when(F.col(y) > 0, F.round(F.col(x) / F.col(y), 6)).otherwise(0.0)
+    n = n.select("hit", ratio("hit", "np").alias("precision"), ratio("hit", "nt").alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return n.withColumn("f1", F.when(both > 0, F.round(2 * F.col("precision") * F.col("recall") / both, 6)).otherwise(0.0))
+
+
+def questions(signals: DataFrame, per_category: int = 5, limit: int = 20) -> DataFrame:
+    """(id, category, subject, priority): review questions from signals (category, subject, strength from 0 to 1).
+
+    The strongest of each category, then the first by weight times strength.
+    """
+    weight = F.lit(0.0)
+    for c, w in ATTENTION.items():
+        weight = F.when(F.col("category") == c, w).otherwise(weight)
+    w = Window.partitionBy("category").orderBy(F.desc("strength"), "subject")
+    q = signals.withColumn("strength", F.least(F.greatest("strength", F.lit(0.0)), F.lit(1.0))).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_category)
+    q = q.select(F.concat_ws(":", "category", "subject").alias("id"), "category", "subject", F.round(weight * F.col("strength"), 6).alias("priority"))
+    return q.orderBy(F.desc("priority"), "id").limit(limit)
+
+
+def cohesion(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, internal, outgoing, cohesion): the share of a component's edges that stay in it, 1 without edges."""
+    e = _sided(edges.select("s", "o"), nodes, ("path",)).groupBy(F.col("s_path").alias("path")).agg(F.count_if(F.expr("s_path = o_path")).alias("internal"), F.count_if(F.expr("s_path <> o_path")).alias("outgoing"))
+    out = nodes.select("path").distinct().join(e, "path", "left").na.fill(0, ["internal", "outgoing"])
+    return out.withColumn("cohesion", F.when(F.col("internal") + F.col("outgoing") == 0, 1.0).otherwise(F.round(F.col("internal") / (F.col("internal") + F.col("outgoing")), 6)))
+
+
+def slices(nodes: DataFrame, edges: DataFrame, seed: DataFrame, depth: int = 3, adjacent: float = 0.25) -> DataFrame:
+    """(node, distance, score) of what the seed (root) touches, callers first: nearness times confidence, and a quarter more right next to it."""
+    hit = confident(edges, seed, depth, "in").where("distance > 0")
+    near = F.when(F.col("distance") == 1, 1.0 + adjacent).otherwise(1.0)
+    return hit.join(nodes.select(F.col("id").alias("node")), "node").select("node", "distance", F.round(F.col("confidence") / (1 + F.col("distance")) * near, 6).alias("score"))
+
+
+def within_tokens(ranked: DataFrame, budget: int) -> DataFrame:
+    """ranked (node, distance, tokens) in breadth-first order as far as the tokens go, with truncated: whether anything is left out.
+
+    Sums are taken by distance first, so that only the level that the budget ends in is put in order.
+    """
+    level = ranked.groupBy("distance").agg(F.sum("tokens").alias("t"))
+    before = level.withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = ranked.join(F.broadcast(before.where(F.col("before") <= budget)), "distance")
+    run = F.sum("tokens").over(Window.partitionBy("distance").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    kept = near.withColumn("upto", F.col("before") + run).where(F.col("upto") <= budget).select("node", "distance", "tokens", "upto")
+    total = ranked.agg((F.sum("tokens") > budget).alias("truncated"))
+    return kept.join(F.broadcast(total))

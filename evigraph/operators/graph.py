@@ -2,36 +2,58 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.session import settle
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", most: int | None = None) -> DataFrame:
+
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "out", most: int | None = None) -> DataFrame:
     """(root, node, distance) from seeds (root): frontier joins, visited nodes anti-joined, so cycles cost nothing.
 
-    direction: out, in or both. most: keep so many nodes per root, by distance and node.
+    direction: out, in or both. depth: None goes on until nothing is new. most:
+    keep so many nodes per root, by distance and node. Edges and every level are
+    written to the shared folder, so no level is ever computed twice.
     """
-    spark = edges.sparkSession
     step = {"out": edges.selectExpr("s as x", "o as y"), "in": edges.selectExpr("o as x", "s as y"), "both": edges.selectExpr("s as x", "o as y").unionAll(edges.selectExpr("o as x", "s as y"))}[direction].distinct()
     front = seeds.select("root", F.col("root").alias("node")).distinct()
+    if depth is None or depth > 1:
+        step, front = settle(step), settle(front)
     seen = front.withColumn("distance", F.lit(0).cast("long"))
-    for d in range(1, depth + 1):
+    d = 0
+    while depth is None or d < depth:
+        d += 1
         reached = front.join(step, front.node == step.x).select("root", F.col("y").alias("node")).distinct()
         front = reached.join(seen, ["root", "node"], "left_anti")
-        if spark.conf.get("spark.checkpoint.dir", None) and d % 3 == 0:
-            front = front.checkpoint()
+        if depth is None or d < depth:
+            front = settle(front)
+            if front.isEmpty():
+                break
         seen = seen.unionAll(front.withColumn("distance", F.lit(d).cast("long")))
     if most:
-        from pyspark.sql import Window
-
         rank = F.row_number().over(Window.partitionBy("root").orderBy("distance", "node"))
         seen = seen.withColumn("r", rank).where(F.col("r") <= most).drop("r")
     return seen
 
 
+def confident(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "in") -> DataFrame:
+    """(root, node, distance, confidence): as bfs, with the largest product of weights (s, o, w) among the shortest paths."""
+    x, y = ("s", "o") if direction == "out" else ("o", "s")
+    step = settle(edges.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.max("w").cast("double").alias("w")))
+    front = seeds.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("distance"), F.lit(1.0).alias("confidence")).distinct()
+    seen = front
+    for d in range(1, depth + 1):
+        reached = front.join(step, front.node == step.x).groupBy("root", F.col("y").alias("node")).agg(F.max(F.col("confidence") * F.col("w")).alias("confidence"))
+        front = settle(reached.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(d).cast("long").alias("distance"), "confidence"))
+        seen = seen.unionAll(front)
+    return seen
+
+
 def chains(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(root, path, length, confidence): all simple forward paths of one to `depth` edges; confidence is the product of weights."""
     now = seeds.select("root", F.array("root").alias("path"), F.col("root").alias("node"), F.lit(1.0).alias("confidence"))
@@ -45,20 +67,21 @@ def chains(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable without regard to direction; label minima with a jump to the label's label each round."""
-    both = edges.selectExpr("s as x", "o as y").unionAll(edges.selectExpr("o as x", "s as y")).distinct()
-    label = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).selectExpr("x as node", "l")
+    """(node, component): the smallest node reachable without regard to direction; label minima with a jump to the label's label each round.
+
+    Raises if labels still move after so many rounds, which takes a path of about 2^rounds nodes.
+    """
+    both = settle(edges.selectExpr("s as x", "o as y").unionAll(edges.selectExpr("o as x", "s as y")).distinct())
+    label = settle(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")).selectExpr("x as node", "l"))
     for _ in range(rounds):
         near = both.join(label, both.y == label.node).groupBy("x").agg(F.min("l").alias("m")).selectExpr("x as node", "m")
         step = label.join(near, "node").select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
         up = step.selectExpr("node as l", "l as ll")
-        new = step.join(up, "l", "left").selectExpr("node", "least(l, coalesce(ll, l)) as l", "old")
-        new = new.persist()
-        moved = new.where("l < old").limit(1).count()
+        new = settle(step.join(up, "l", "left").selectExpr("node", "least(l, coalesce(ll, l)) as l", "old"))
         label = new.select("node", "l")
-        if not moved:
-            break
-    return label.withColumnRenamed("l", "component")
+        if new.where("l < old").isEmpty():
+            return label.withColumnRenamed("l", "component")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -80,189 +103,333 @@ def quality(edges: DataFrame, partition: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- kernels
-# A kernel takes the edges of one component; components are dealt out as groups.
-
-
-def _adjacency(pdf: pd.DataFrame) -> dict:
-    adj: dict = defaultdict(dict)
-    for s, o, w in zip(pdf.s, pdf.o, pdf.w, strict=True):
-        if s != o:
-            adj[s][o] = adj[s].get(o, 0.0) + w
-            adj[o][s] = adj[o].get(s, 0.0) + w
-    return adj
-
-
-def _per_component(edges: DataFrame, kernel, schema: str) -> DataFrame:
-    comp = components(edges)
-    return edges.join(comp.withColumnRenamed("node", "s"), "s").select("component", "s", "o", "w").groupBy("component").applyInPandas(kernel, schema)
-
-
-def betweenness(edges: DataFrame, sources: int = 500) -> DataFrame:
-    """(node, score): Brandes over unweighted undirected edges; above 1,000 nodes, from evenly spaced sources, scaled up."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = {n: sorted(a) for n, a in _adjacency(pdf).items()}
-        nodes = sorted(adj)
-        picked = nodes if len(nodes) <= 1000 else nodes[:: max(1, len(nodes) // sources)]
-        score = dict.fromkeys(nodes, 0.0)
-        for s in picked:
-            paths, dist, before, order = {s: 1.0}, {s: 0}, defaultdict(list), []
-            todo = deque([s])
-            while todo:
-                v = todo.popleft()
-                order.append(v)
-                for u in adj[v]:
-                    if u not in dist:
-                        dist[u] = dist[v] + 1
-                        todo.append(u)
-                    if dist[u] == dist[v] + 1:
-                        paths[u] = paths.get(u, 0.0) + paths[v]
-                        before[u].append(v)
-            owed = dict.fromkeys(order, 0.0)
-            for v in reversed(order):
-                for u in before[v]:
-                    owed[u] += paths[u] / paths[v] * (1 + owed[v])
-                if v != s:
-                    score[v] += owed[v]
-        n = len(nodes)
-        scale = (n / max(1, len(picked))) / (max(1, (n - 1) * (n - 2)))
-        return pd.DataFrame({"node": nodes, "score": [round(score[v] * scale, 6) for v in nodes]})
-
-    return _per_component(edges, kernel, f"node {edges.schema['s'].dataType.simpleString()}, score double")
+# What follows is sequential by nature, or needs the whole adjacency at hand. A
+# graph of up to MAX_EDGES distinct pairs is gathered; a larger one is refused.
+
+MAX_EDGES = 4_000_000
+
+
+@dataclass
+class Packed:
+    """An undirected graph as compressed rows: the neighbours of node i are to[at[i]:at[i + 1]], in order, with weights."""
+
+    names: np.ndarray
+    at: np.ndarray
+    to: np.ndarray
+    weight: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    @property
+    def own(self) -> np.ndarray:
+        """The node that each entry belongs to."""
+        return np.repeat(np.arange(len(self)), np.diff(self.at))
+
+
+def packed(s: np.ndarray, o: np.ndarray, w: np.ndarray) -> Packed:
+    """Weights of parallel edges add up, without regard to direction; loops are left out."""
+    keep = s != o
+    names, code = np.unique(np.concatenate([s[keep], o[keep]]), return_inverse=True)
+    x, y = np.split(code, 2)
+    n = max(1, len(names))
+    pair, inverse = np.unique(np.concatenate([x * n + y, y * n + x]), return_inverse=True)
+    weight = np.bincount(inverse, np.concatenate([w[keep], w[keep]]).astype(float), len(pair))
+    return Packed(names, np.searchsorted(pair // n, np.arange(len(names) + 1)), pair % n, weight)
+
+
+def gather(edges: DataFrame, most: int = MAX_EDGES) -> pd.DataFrame:
+    """Edges (s, o, w), parallel ones added up, on the driver: at most `most` of them."""
+    own = edges.where("s <> o").groupBy("s", "o").agg(F.sum("w").alias("w")).limit(most + 1).toPandas()
+    if len(own) > most:
+        raise ValueError(f"more than {most} edges; this needs the whole graph at once")
+    return own
+
+
+def _of(edges: DataFrame) -> Packed:
+    e = gather(edges)
+    return packed(e.s.to_numpy(np.int64), e.o.to_numpy(np.int64), e.w.to_numpy(float))
+
+
+def _dependencies(g: Packed, source: int) -> np.ndarray:
+    """How much the shortest paths from source depend on each node, level by level."""
+    n = len(g)
+    depth, paths = np.full(n, -1), np.zeros(n)
+    depth[source], paths[source] = 0, 1.0
+    levels, front = [], np.array([source])
+    while len(front):
+        size = g.at[front + 1] - g.at[front]
+        entry = np.repeat(g.at[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        u, v = np.repeat(front, size), g.to[entry]
+        depth[v[depth[v] < 0]] = len(levels) + 1
+        ahead = depth[v] == len(levels) + 1
+        u, v = u[ahead], v[ahead]
+        paths += np.bincount(v, paths[u], n)
+        levels.append((u, v))
+        front = np.unique(v)
+    owed = np.zeros(n)
+    for u, v in reversed(levels):
+        owed += np.bincount(u, paths[u] / np.maximum(paths[v], 1e-300) * (1 + owed[v]), n)
+    owed[source] = 0
+    return owed
+
+
+def betweenness(edges: DataFrame, sources: int = 500, exact: int = 1000, nodes: int | None = None) -> DataFrame:
+    """(node, score): Brandes over unweighted undirected edges, sources dealt out to tasks.
+
+    Above `exact` nodes, from evenly spaced sources, scaled up. Scores are
+    shares of (n - 1)(n - 2), n being `nodes`, or the number of nodes with edges.
+    """
+    spark = edges.sparkSession
+    g = _of(edges)
+    n = len(g)
+    step = 1 if n <= exact else max(1, n // sources)
+    picked = np.arange(0, n, step)
+    shared = spark.sparkContext.broadcast(g)  # at most MAX_EDGES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph, total = shared.value, None
+        for batch in batches:
+            for i in batch.id:
+                part = _dependencies(graph, int(i) * step)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "x": total})
+
+    parts = spark.range(0, len(picked), 1, min(max(1, len(picked) // 8), spark.sparkContext.defaultParallelism)).mapInPandas(run, "i long, x double")
+    names = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "node": g.names}), "i long, node long")
+    size = nodes or n
+    scale = (n / max(1, len(picked))) / max(1, (size - 1) * (size - 2))
+    return parts.groupBy("i").agg(F.sum("x").alias("x")).join(names, "i").select("node", F.round(F.col("x") * scale, 6).alias("score"))
+
+
+def preorder(g: Packed) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes in the order of a depth-first search, parent of each node or -1)."""
+    parent, seen, order = np.full(len(g), -1), np.zeros(len(g), bool), []
+    for root in range(len(g)):
+        todo = [(root, -1)]
+        while todo:
+            v, p = todo.pop()
+            if seen[v]:
+                continue
+            seen[v], parent[v] = True, p
+            order.append(v)
+            todo += [(int(u), v) for u in g.to[g.at[v] : g.at[v + 1]][::-1] if not seen[u]]
+    return np.array(order, np.int64), parent
 
 
-def cuts(edges: DataFrame) -> DataFrame:
-    """(kind, a, b): articulation points (b null) and bridges (a < b), by low-links without recursion."""
+def cut_sets(g: Packed) -> tuple[np.ndarray, np.ndarray]:
+    """(articulation points, bridges as pairs): Schmidt's chain decomposition of a depth-first forest.
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = {n: sorted(a) for n, a in _adjacency(pdf).items()}
-        num, low, points, bridges = {}, {}, set(), []
-        for root in sorted(adj):
-            if root in num:
-                continue
-            num[root] = low[root] = len(num)
-            stack, children = [(root, None, iter(adj[root]))], 0
-            while stack:
-                v, parent, rest = stack[-1]
-                u = next(rest, None)
-                if u is None:
-                    stack.pop()
-                    if parent is not None:
-                        low[parent] = min(low[parent], low[v])
-                        if low[v] > num[parent]:
-                            bridges.append((min(v, parent), max(v, parent)))
-                        if parent != root and low[v] >= num[parent]:
-                            points.add(parent)
-                elif u not in num:
-                    num[u] = low[u] = len(num)
-                    children += v == root
-                    stack.append((u, v, iter(adj[u])))
-                elif u != parent:
-                    low[v] = min(low[v], num[u])
-            if children > 1:
-                points.add(root)
-        rows = [("articulation", p, None) for p in sorted(points)] + [("bridge", *b) for b in sorted(bridges)]
-        return pd.DataFrame(rows, columns=["kind", "a", "b"]).astype({"a": "Int64", "b": "Int64"}) if rows else pd.DataFrame({"kind": [], "a": pd.array([], "Int64"), "b": pd.array([], "Int64")})
-
-    return _per_component(edges, kernel, "kind string, a long, b long")
+    Every edge outside the forest opens a chain at its upper end, which climbs
+    from its lower end until it meets a node that an earlier chain has visited.
+    A forest edge that no chain climbs is a bridge. Cut nodes are the ends of
+    bridges that have other neighbours, and the starts of chains that close a
+    cycle, but for a component's first chain.
+    """
+    order, parent = preorder(g)
+    rank, root = np.empty(len(g), np.int64), np.arange(len(g))
+    rank[order] = np.arange(len(order))
+    for v in order:
+        root[v] = v if parent[v] < 0 else root[parent[v]]
+    visited, climbed = np.zeros(len(g), bool), np.zeros(len(g), bool)
+    points, first = set(), set()
+    for v in order.tolist():
+        below = g.to[g.at[v] : g.at[v + 1]]
+        for u in below[(rank[below] > rank[v]) & (parent[below] != v)].tolist():
+            visited[v] = True
+            while not visited[u]:
+                visited[u] = climbed[u] = True
+                u = int(parent[u])
+            if u == v:
+                (points if root[v] in first else first).add(v if root[v] in first else int(root[v]))
+    lower = np.flatnonzero((parent >= 0) & ~climbed)
+    ends = np.unique(np.concatenate([lower, parent[lower]]))
+    points.update(ends[np.diff(g.at)[ends] > 1].tolist())
+    return np.array(sorted(points), np.int64), np.sort(np.stack([lower, parent[lower]], 1), axis=1)
+
+
+def cuts(edges: DataFrame) -> DataFrame:
+    """(kind, a, b): articulation points (b null) and bridges (a < b)."""
+    g = _of(edges)
+    points, bridges = cut_sets(g)
+    rows = [("articulation", x, None) for x in g.names[points].tolist()] + [("bridge", *x) for x in g.names[bridges].tolist()]
+    return edges.sparkSession.createDataFrame(rows, "kind string, a long, b long")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, scc): the smallest node of its strongly connected component."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, back = defaultdict(list), defaultdict(list)
-        for s, o in zip(pdf.s, pdf.o, strict=True):
-            out[s].append(o)
-            back[o].append(s)
-        nodes = sorted({*out, *back})
-        seen, order = set(), []
-        for n in nodes:
-            if n in seen:
-                continue
-            seen.add(n)
-            stack = [(n, iter(out[n]))]
-            while stack:
-                v, rest = stack[-1]
-                u = next((x for x in rest if x not in seen), None)
-                if u is None:
-                    order.append(v)
-                    stack.pop()
-                else:
-                    seen.add(u)
-                    stack.append((u, iter(out[u])))
-        label = {}
-        for n in reversed(order):
-            if n not in label:
-                group, todo = [n], [n]
-                label[n] = n
-                while todo:
-                    for u in back[todo.pop()]:
-                        if u not in label:
-                            label[u] = n
-                            group.append(u)
-                            todo.append(u)
-                least = min(group)
-                for u in group:
-                    label[u] = least
-        return pd.DataFrame({"node": list(label), "scc": list(label.values())})
-
-    return _per_component(edges, kernel, "node long, scc long")
-
-
-def local_moves(adj: dict, resolution: float = 1.0, total: float | None = None) -> dict:
-    """Communities by local moves and aggregation: a node moves only to a strictly better neighbour, nodes in order."""
-    m = total if total is not None else sum(w for a in adj.values() for w in a.values()) / 2
-    home = {n: n for n in adj}
-    level, loops = {n: dict(a) for n, a in adj.items()}, defaultdict(float)
+    """(node, scc): the smallest node of its strongly connected component; two depth-first searches, the second against the edges."""
+    e = gather(edges)
+    names, code = np.unique(np.concatenate([e.s.to_numpy(np.int64), e.o.to_numpy(np.int64)]), return_inverse=True)
+    s, o = np.split(code, 2)
+    n = len(names)
+
+    def rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(x, kind="stable")
+        return np.searchsorted(x[by], np.arange(n + 1)), y[by]
+
+    at, to = rows(s, o)
+    seen, done, finished = np.zeros(n, bool), at[:-1].copy(), []
+    for start in range(n):
+        stack = [] if seen[start] else [start]
+        seen[start] = True
+        while stack:
+            v = stack[-1]
+            while done[v] < at[v + 1] and seen[to[done[v]]]:
+                done[v] += 1
+            if done[v] == at[v + 1]:
+                finished.append(stack.pop())
+            else:
+                seen[to[done[v]]] = True
+                stack.append(int(to[done[v]]))
+    at, to = rows(o, s)
+    label = np.full(n, -1)
+    for start in reversed(finished):
+        if label[start] >= 0:
+            continue
+        label[start], group, todo = start, [start], [start]
+        while todo:
+            v = todo.pop()
+            new = np.unique(to[at[v] : at[v + 1]])
+            new = new[label[new] < 0]
+            label[new] = start
+            group += new.tolist()
+            todo += new.tolist()
+        label[group] = min(group)
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": names, "scc": names[label] if n else names}), "node long, scc long")
+
+
+def louvain(g: Packed, resolution: float = 1.0) -> np.ndarray:
+    """A community for each node, named by its smallest node's index: modularity gains as arrays over packed rows, then the same over the communities."""
+    home = np.arange(len(g))
+    at, to, weight, loops = g.at, g.to, g.weight, np.zeros(len(g))
+    m = float(weight.sum()) / 2
     while m > 0:
-        nodes = sorted(level)
-        comm = {n: n for n in nodes}
-        size = {n: 2 * loops[n] + sum(level[n].values()) for n in nodes}
-        tot, moved = dict(size), False
-        changed = True
-        while changed:
-            changed = False
-            for n in nodes:
-                c = comm[n]
-                tot[c] -= size[n]
-                to: dict = defaultdict(float)
-                for u, w in level[n].items():
-                    to[comm[u]] += w
-                best, gain = c, to.get(c, 0.0) - resolution * tot[c] * size[n] / (2 * m)
-                for d in sorted(to):
-                    g = to[d] - resolution * tot[d] * size[n] / (2 * m)
-                    if d != c and g > gain + 1e-12:
-                        best, gain = d, g
-                tot[best] += size[n]
-                comm[n] = best
-                changed |= best != c
-                moved |= best != c
-        if not moved:
+        n = len(at) - 1
+        size = np.bincount(np.repeat(np.arange(n), np.diff(at)), weight, n) + 2 * loops
+        comm, total = np.arange(n), size.copy()
+        todo = n
+        while todo:
+            todo = 0
+            for i in range(n):
+                near, group = np.unique(comm[to[at[i] : at[i + 1]]], return_inverse=True)
+                if not len(near):
+                    continue
+                links = np.bincount(group, weight[at[i] : at[i + 1]])
+                total[comm[i]] -= size[i]
+                pull = links - resolution * size[i] * total[near] / (2 * m)
+                stay = float(pull[near == comm[i]].sum()) if comm[i] in near else -resolution * size[i] * total[comm[i]] / (2 * m)
+                k = int(np.argmax(pull))
+                if pull[k] > stay + 1e-12 and near[k] != comm[i]:
+                    comm[i], todo = near[k], todo + 1
+                total[comm[i]] += size[i]
+        kept, comm = np.unique(comm, return_inverse=True)
+        if len(kept) == n:
             break
-        home = {n: comm[h] for n, h in home.items()}
-        up: dict = {c: defaultdict(float) for c in set(comm.values())}
-        lifted: dict = defaultdict(float)
-        for n in nodes:
-            lifted[comm[n]] += loops[n]
-            for u, w in level[n].items():
-                if comm[u] == comm[n]:
-                    lifted[comm[n]] += w / 2
-                else:
-                    up[comm[n]][comm[u]] += w
-        level, loops = {c: dict(a) for c, a in up.items()}, lifted
-    return home
+        home = comm[home]
+        x, y = np.repeat(comm, np.diff(at)), comm[to]
+        inside = x == y
+        loops = np.bincount(comm, loops, len(kept)) + np.bincount(x[inside], weight[inside], len(kept)) / 2
+        pair, group = np.unique(x[~inside] * len(kept) + y[~inside], return_inverse=True)
+        weight = np.bincount(group, weight[~inside], len(pair))
+        at, to = np.searchsorted(pair // len(kept), np.arange(len(kept) + 1)), pair % len(kept)
+    low = np.full(len(g) + 1, len(g))
+    np.minimum.at(low, home, np.arange(len(g)))
+    return low[home]
 
 
 def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(node, c): modularity communities, each named by its smallest node; run per component, with the whole graph's weight."""
-    total = float(edges.where("s <> o").agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0])
+    """(node, c): modularity communities, each named by its smallest node."""
+    g = _of(edges)
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": g.names, "c": g.names[louvain(g, resolution)]}), "node long, c long")
+
+
+# ------------------------------------------------------------- on top of them
+
+# Shares of the hub score, and of the largest betweenness that makes a cut node a chokepoint.
+HUB = {"betweenness": 0.6, "degree": 0.4}
+CHOKE = 0.25
+# How review scans the resolution, and when a community is oversized.
+RESOLUTIONS = [0.5, 0.75, 1.0, 1.5, 2.0]
+OVERSIZED, ROUNDS, GAIN = 0.25, 3, 1e-9
+
+
+def hubs(edges: DataFrame, nodes: int, between: DataFrame | None = None) -> DataFrame:
+    """(node, degree, betweenness, score) of a graph of so many nodes; score blends betweenness and the share of neighbours."""
+    b = between if between is not None else betweenness(edges, nodes=nodes)
+    d = degrees(edges).select("node", "degree")
+    score = HUB["betweenness"] * F.col("betweenness") + HUB["degree"] * F.col("degree") / max(1, nodes - 1)
+    return d.join(b.withColumnRenamed("score", "betweenness"), "node").select("node", "degree", "betweenness", F.round(score, 6).alias("score"))
+
+
+def chokepoints(cut: DataFrame, hub: DataFrame) -> DataFrame:
+    """(node, betweenness, score): articulation points with a quarter or more of the largest betweenness."""
+    top = hub.agg(F.max("betweenness").alias("top"))
+    points = cut.where("kind = 'articulation'").select(F.col("a").alias("node"))
+    return hub.join(points, "node").join(F.broadcast(top)).where(f"top > 0 and betweenness >= {CHOKE} * top").select("node", "betweenness", "score")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = local_moves(_adjacency(pdf), resolution, total)
-        least: dict = {}
-        for n, c in home.items():
-            least[c] = min(n, least.get(c, n))
-        return pd.DataFrame({"node": list(home), "c": [least[c] for c in home.values()]})
 
-    return _per_component(edges, kernel, "node long, c long")
+def connected_parts(edges: DataFrame, partition: DataFrame) -> DataFrame:
+    """(node, c, part): communities (node, c) cut into what is connected within them; part is its smallest node."""
+    p = lambda n: partition.select(F.col("node").alias(n), F.col("c").alias(f"c_{n}"))
+    inside = edges.where("s <> o").join(p("s"), "s").join(p("o"), "o").where("c_s = c_o").select("s", "o", "w")
+    return partition.join(components(inside), "node", "left").select("node", "c", F.coalesce("component", "node").alias("part"))
+
+
+def sweep(edges: DataFrame, resolutions: list[float] | None = None) -> DataFrame:
+    """(resolution, communities, modularity): the partitions of several resolutions, measured at resolution 1."""
+    g = _of(edges)
+    rows = [(r, len(np.unique(c)), round(_modularity(g, c), 6)) for r in resolutions or RESOLUTIONS for c in [louvain(g, r)]]
+    return edges.sparkSession.createDataFrame(rows, "resolution double, communities long, modularity double")
+
+
+def _modularity(g: Packed, c: np.ndarray) -> float:
+    m2 = float(g.weight.sum())
+    if not m2:
+        return 0.0
+    inside = g.weight[c[g.own] == c[g.to]].sum() / m2
+    return float(inside - ((np.bincount(c[g.own], g.weight) / m2) ** 2).sum())
+
+
+def split_oversized(edges: DataFrame, partition: DataFrame, share: float = OVERSIZED, factor: float = 2.0, rounds: int = ROUNDS) -> DataFrame:
+    """(node, c): communities of more than a share of all nodes are looked at again by themselves, at `factor` times the resolution, and cut if modularity gains."""
+    e = gather(edges)
+    g = packed(e.s.to_numpy(np.int64), e.o.to_numpy(np.int64), e.w.to_numpy(float))
+    known = {r.node: r.c for r in partition.where(F.col("node").isNotNull()).select("node", "c").toLocalIterator()} if len(g) else {}
+    c = np.unique([str(known.get(x, x)) for x in g.names.tolist()], return_inverse=True)[1] if len(g) else np.empty(0, int)
+    for k in range(rounds):
+        big = np.flatnonzero(np.bincount(c) > share * len(g)) if len(g) else []
+        moved = False
+        for b in big:
+            own = np.flatnonzero(c == b)
+            inside = (c[g.own] == b) & (c[g.to] == b)
+            part = packed(g.own[inside], g.to[inside], g.weight[inside] / 2)
+            new = c.copy()
+            new[part.names] = c.max() + 1 + louvain(part, factor ** (k + 1))
+            if len(np.unique(new[own])) > 1 and _modularity(g, new) > _modularity(g, c) + GAIN:
+                c, moved = np.unique(new, return_inverse=True)[1], True
+        if not moved:
+            break
+    low = np.full(int(c.max()) + 1 if len(c) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(low, c, g.names)
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": g.names, "c": low[c] if len(c) else g.names}), "node long, c long")
+
+
+def labels(partition: DataFrame, tokens: DataFrame, most: int = 3) -> DataFrame:
+    """(c, label): each community's most frequent tokens (node, token), ties by token."""
+    n = partition.join(tokens, "node").groupBy("c", "token").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("c").orderBy(F.desc("n"), "token")
+    top = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    return top.groupBy("c").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda x: x["token"]), " ").alias("label"))
+
+
+def membership_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(node, gained, lost): how many companions of its community (node, c) a node has gained and lost, among nodes in both.
+
+    Companions are counted by pairs of old and new communities, never listed.
+    """
+    both = before.select("node", F.col("c").alias("b")).join(after.select("node", F.col("c").alias("a")), "node")
+    cell = both.groupBy("b", "a").agg(F.count("*").alias("same"))
+    old, new = both.groupBy("b").agg(F.count("*").alias("nb")), both.groupBy("a").agg(F.count("*").alias("na"))
+    out = both.join(cell, ["b", "a"]).join(old, "b").join(new, "a")
+    return out.select("node", (F.col("na") - F.col("same")).alias("gained"), (F.col("nb") - F.col("same")).alias("lost")).where("gained > 0 or lost > 0")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ URL = r"\bhttps?://[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%\-]+"
 VERSION = r"\bv?\d+\.\d+(?:\.\d+)?(?:[-.][A-Za-z0-9]+)?\b"
 ORG = r"\b([A-Z][A-Za-z0-9&\- ]+ (?:Inc\.?|LLC|Ltd\.?|Corp\.?|Corporation|Foundation|Labs|Institute|Company|Co\.))"
 PERSON = r"\b[A-Z][a-z]{1,20}(?:\s+[A-Z][a-z]{1,20}){1,2}\b"
-STOP_TITLES = "The And But For Or Not With This That These Those From Into About Also Note See Only".split()
+STOP_TITLES = ["The", "And", "But", "For", "Or", "Not", "With", "This", "That", "These", "Those", "From", "Into", "About", "Also", "Note", "See", "Only"]
 
 # Claim predicates and the verbs that state them, in order of trial.
 VERBS = [
@@ -28,8 +29,8 @@ VERBS = [
     ("requires", "requires?"), ("has", "has"), ("uses", "uses?"), ("retains", "retains?"), ("stores", "stores?"), ("allows", "allows?"), ("returns", "returns?"),
 ]
 _SUBJECT = r"^([A-Z][A-Za-z0-9 .,'-]{2,80})\s+"
-CLAIMS = [(n, re.compile(rf"{_SUBJECT}{v}\s+([a-zA-Z0-9][^.!?]{{2,200}})[.!?]?$")) for n, v in VERBS]
-CLAIMS.append(("count", re.compile(rf"{_SUBJECT}(?:contains?|includes?|has)\s+(\d[\d,\.]{{0,20}}\s+[a-zA-Z][^.!?]{{0,120}})[.!?]?$")))
+CLAIMS = [(n, rf"{_SUBJECT}{v}\s+([a-zA-Z0-9][^.!?]{{2,200}})[.!?]?$") for n, v in VERBS]
+CLAIMS.append(("count", rf"{_SUBJECT}(?:contains?|includes?|has)\s+(\d[\d,\.]{{0,20}}\s+[a-zA-Z][^.!?]{{0,120}})[.!?]?$"))
 
 
 def chunks(docs: DataFrame, per_chunk: int = 4, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -56,48 +57,62 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+def _bounds(sizes: np.ndarray, per_chunk: int, max_chars: int) -> list[int]:
+    """Where chunks begin among paragraphs of these sizes, and their number at the end.
+
+    For every paragraph we know at once where a chunk from it would stop: after
+    per_chunk paragraphs, after the one that fills max_chars, or before the next
+    oversized one, which is a chunk by itself. Chunks follow these jumps.
+    """
+    n = len(sizes)
+    total = np.append(0, np.cumsum(sizes))
+    over = np.flatnonzero(sizes > max_chars)
+    ahead = np.append(over, n)[np.searchsorted(over, np.arange(n))]
+    full = np.searchsorted(total, total[:-1] + max_chars)
+    stop = np.minimum.reduce([np.arange(n) + per_chunk, np.maximum(full, np.arange(n) + 1), ahead, np.full(n, n)])
+    stop[over] = over + 1
+    out = [0]
+    while out[-1] < n:
+        out.append(int(stop[out[-1]]))
+    return out
+
+
 def _packer(per_chunk: int, max_chars: int):
-    def pack(text: str) -> Iterator[tuple[int, str, int, int]]:
-        n, held = 0, []
-        spans, at = [], 0
-        for m in re.finditer(r"\n\s*\n+", text):
-            spans.append((at, m.start()))
-            at = m.end()
-        for s, e in [*spans, (at, len(text))]:
-            p = re.sub(r"[ \t\f\v]+", " ", text[s:e]).strip()
-            if len(p) > max_chars:
-                if held:
-                    yield n, "\n\n".join(h[0] for h in held), held[0][1], held[-1][2]
-                    n, held = n + 1, []
-                for i in range(0, len(p), max_chars):
-                    yield n, p[i : i + max_chars], s + i, s + i + len(p[i : i + max_chars])
-                    n += 1
-            elif p:
-                held.append((p, s, e))
-                if len(held) >= per_chunk or sum(len(h[0]) for h in held) >= max_chars:
-                    yield n, "\n\n".join(h[0] for h in held), held[0][1], held[-1][2]
-                    n, held = n + 1, []
-        if held:
-            yield n, "\n\n".join(h[0] for h in held), held[0][1], held[-1][2]
+    def pieces(text: str) -> Iterator[tuple[str, int, int]]:
+        breaks = [m.span() for m in re.finditer(r"\n\s*\n+", text)]
+        spans = zip([0, *(e for _, e in breaks)], [*(b for b, _ in breaks), len(text)], strict=True)
+        kept = [(p, b, e) for b, e in spans if (p := re.sub(r"[ \t\f\v]+", " ", text[b:e]).strip())]
+        edges = _bounds(np.array([len(p) for p, _, _ in kept], np.int64), per_chunk, max_chars)
+        for i, j in zip(edges, edges[1:], strict=False):
+            body, begin = "\n\n".join(p for p, _, _ in kept[i:j]), kept[i][1]
+            if j == i + 1 and len(body) > max_chars:
+                yield from ((body[k : k + max_chars], begin + k, begin + min(k + max_chars, len(body))) for k in range(0, len(body), max_chars))
+            else:
+                yield body, begin, kept[j - 1][2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, *c) for d, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in pack(t)]
+            rows = [(d, n, *c) for d, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for n, c in enumerate(pieces(t))]
             yield _batch(rows, [b.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64()], ["doc_id", "ord", "text", "start", "end"])
 
     return run
 
 
-def _plain(text: Column) -> Column:
-    """Letters beyond ASCII as underscores, which are word characters and nothing else, so that all engines agree on boundaries."""
-    return F.regexp_replace(text, r"[^\x00-\x7F]", "_")
+# what no word may touch on the left and right: letters and digits of any script
+_LEFT, _RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+
+
+def bounded(pattern: str) -> str:
+    """The pattern with its word boundaries spelt out for all scripts."""
+    out = _LEFT + pattern.removeprefix(r"\b")
+    return out.removesuffix(r"\b") + _RIGHT if out.endswith(r"\b") else out
 
 
 def entities(chunked: DataFrame) -> DataFrame:
     """(doc_id, ord, kind, canonical, display): each entity once per chunk."""
-    t = _plain(F.col("text"))
+    t = F.col("text")
     trimmed = lambda a, p: F.transform(a, lambda x: F.regexp_replace(x, p, ""))
-    every = lambda p, g=0: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    every = lambda p, g=0: F.regexp_extract_all(t, F.lit(bounded(p)), F.lit(g))
     people = F.filter(every(PERSON), lambda x: ~x.rlike("^(" + "|".join(STOP_TITLES) + r") "))
     found = [("url", trimmed(every(URL), r"[.,);\]]+$")), ("organisation", every(ORG, 1)), ("person", people), ("version", every(VERSION))]
     named = lambda k, a: F.transform(a, lambda x: F.struct(F.lit(k).alias("kind"), F.trim(x).alias("display")))
@@ -107,73 +122,61 @@ def entities(chunked: DataFrame) -> DataFrame:
     return e.withColumn("canonical", canonical).groupBy("doc_id", "ord", "kind", "canonical").agg(F.min("display").alias("display"))
 
 
-_MARKS = {
-    "heading": re.compile(r"^ {0,3}#{1,6}\s+"),
-    "rule": re.compile(r"^ {0,3}(?:=+|-{2,}|\*{3,}|_{3,})\s*$"),
-    "item": re.compile(r"^ {0,3}(?:[-*+]|\d{1,3}[.)])\s+"),
-    "quote": re.compile(r"^ {0,3}>+\s?"),
-    "fence": re.compile(r"^ {0,3}(?:```|~~~)"),
-}
+# What ends or begins a block of prose, as lines; each goes for an end of block.
+_END = "\u0001"
+_BLOCKS = [
+    (r"(?ms)^ {0,3}(?:```|~~~)[^\n]*(?:\n.*?(?:^ {0,3}(?:```|~~~)[^\n]*|\z)|\z)", _END),  # fenced code
+    (r"(?m)^ {0,3}>+[ \t]?", ""),  # quotes
+    (r"(?m)^ {0,3}(?:=+|-{2,}|\*{3,}|_{3,})[ \t]*$", _END),  # rules and underlines
+    (r"(?m)^ {0,3}#{1,6}[ \t]+([^\n]*)$", _END + "$1\u0002"),  # headings
+    (r"(?m)^ {0,3}(?:[-*+]|\d{1,3}[.)])[ \t]+", _END),  # items
+    (r"(?m)^[ \t]*$", _END),  # empty lines
+    (r"\[([^\]\n]*)\]\([^)\s]*\)", "$1"),  # links
+    (r"[*_`]{1,3}", ""),  # emphasis
+    (r"[ #]*\x02", _END),  # what closes a heading
+]
 
 
-def prose_blocks(text: str) -> list[str]:
+def prose_blocks(text: Column) -> Column:
     """Prose without block markers: headings and list items alone, fences dropped, wrapped lines joined, oversized blocks left out."""
-    blocks: list[list[str]] = [[]]
-    fenced = False
-    for raw in text.splitlines():
-        if _MARKS["fence"].match(raw):
-            fenced = not fenced
-            blocks.append([])
-            continue
-        if fenced:
-            continue
-        line = _MARKS["quote"].sub("", raw)
-        if not line.strip() or _MARKS["rule"].match(line):
-            blocks.append([])
-            continue
-        head, item = _MARKS["heading"].match(line), _MARKS["item"].match(line)
-        rest = line[head.end() :] if head else line[item.end() :] if item else line
-        rest = re.sub(r"[*_`]{1,3}", "", re.sub(r"\[([^\]]*)\]\([^)\s]*\)", r"\1", rest))
-        if head:
-            blocks += [[rest.rstrip(" #")], []]
-        elif item:
-            blocks.append([rest])
-        else:
-            blocks[-1].append(rest)
-    joined = (re.sub(r"\s+", " ", " ".join(b)).strip() for b in blocks)
-    return [b for b in joined if b and len(b) <= BLOCK_CHARS]
-
-
-def claims_in(text: str) -> list[tuple[str, str, str]]:
-    """(predicate, subject, object) of the sentences that a pattern reads; each once."""
-    out: dict[tuple, tuple] = {}
-    for block in prose_blocks(text):
-        for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", block):
-            s = s.strip()
-            if not s or len(s) > SENTENCE_CHARS:
-                continue
-            for name, pattern in CLAIMS:
-                m = pattern.match(s)
-                if m:
-                    subject, value = m[1].strip(" .,"), m[2].strip(" .,")
-                    key = (name, subject.lower(), value.lower())
-                    if key not in out:
-                        out[key] = (name, subject, value)
-                        break
-    return list(out.values())
+    for pattern, to in _BLOCKS:
+        text = F.regexp_replace(text, pattern, to)
+    joined = F.transform(F.split(text, _END), lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")))
+    return F.filter(joined, lambda b: F.length(b).between(1, BLOCK_CHARS))
 
 
-def claims(chunked: DataFrame) -> DataFrame:
-    """(doc_id, ord, n, predicate, subject, object, confidence); n numbers a chunk's claims."""
+def sentences(text: Column) -> Column:
+    """The sentences of a text's prose that are short enough to be read for claims."""
+    parts = F.flatten(F.transform(prose_blocks(text), lambda b: F.split(b, r"(?<=[.!?])\s+(?=[A-Z])")))
+    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x).between(1, SENTENCE_CHARS))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(d, o, i, *c, 0.4) for d, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for i, c in enumerate(claims_in(t))]
-            text = pa.string()
-            yield _batch(rows, [b.schema.field(0).type, pa.int64(), pa.int64(), text, text, text, pa.float64()], ["doc_id", "ord", "n", "predicate", "subject", "object", "confidence"])
 
-    kind = chunked.schema["doc_id"].dataType.simpleString()
-    return chunked.select("doc_id", "ord", "text").mapInArrow(run, f"doc_id {kind}, ord long, n long, predicate string, subject string, object string, confidence double")
+def readings(sentence: Column) -> Column:
+    """array<struct<key, predicate, subject, object>>: what each pattern in turn reads in a sentence."""
+    strip = lambda x: F.regexp_replace(x, "^[ .,]+|[ .,]+$", "")
+
+    def read(name: str, p: str) -> Column:
+        subject, value = (strip(F.regexp_extract(sentence, p, g)) for g in (1, 2))
+        key = F.concat_ws("\u0001", F.lit(name), F.lower(subject), F.lower(value))
+        return F.when(sentence.rlike(p), F.struct(key.alias("key"), F.lit(name).alias("predicate"), subject.alias("subject"), value.alias("object")))
+
+    return F.array_compact(F.array(*[read(name, p) for name, p in CLAIMS]))
+
+
+def claims(chunked: DataFrame) -> DataFrame:
+    """(doc_id, ord, n, predicate, subject, object, confidence): a sentence gives its first reading that its chunk has not given yet; n numbers a chunk's claims."""
+    # one look at the verbs leaves few sentences for the patterns
+    verb = r"^[A-Z].*\s(?:" + "|".join([v for _, v in VERBS] + ["contains?", "includes?"]) + r")\s+[a-zA-Z0-9]"
+    said = F.transform(F.filter(sentences(F.col("text")), lambda x: x.rlike(verb)), readings)
+    none = F.array().cast("array<struct<key:string,predicate:string,subject:string,object:string>>")
+
+    def add(given: Column, new: Column) -> Column:
+        fresh = F.filter(new, lambda r: ~F.exists(given, lambda g: g["key"] == r["key"]))
+        return F.concat(given, F.slice(fresh, 1, 1))
+
+    rows = chunked.select("doc_id", "ord", said.alias("said")).where("size(said) > 0")
+    rows = rows.select("doc_id", "ord", F.posexplode(F.aggregate("said", none, add)).alias("n", "c"))
+    return rows.select("doc_id", "ord", F.col("n").cast("long").alias("n"), "c.predicate", "c.subject", "c.object", F.lit(0.4).alias("confidence"))
 
 
 def cooccurrence(found: DataFrame, least: int = 2, most: int = 32) -> DataFrame:

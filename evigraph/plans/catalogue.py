@@ -7,33 +7,18 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as T
 from evigraph.operators import code, context, evidence, graph, ingest, search
 from evigraph.plans import views as V
+from evigraph.plans.sql import CHUNKS as _CHUNKS
+from evigraph.plans.sql import EDGES as _EDGES
+from evigraph.plans.sql import PART as _PART
+from evigraph.plans.sql import SURE as _SURE
+from evigraph.plans.sql import walk as _walk
+from evigraph.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from evigraph.sources import export
 from evigraph.streaming import watch
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
 # shared pieces of the SQL
-_CHUNKS = r"""d as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\f\v]+', ' ', 'g'), '^\s+|\s+$', '', 'g') as p from documents),
-ch as (select doc_id, (i // 4096)::bigint as ord, substr(p, i + 1, 4096) as text from (select doc_id, p, unnest(range(0, length(p), 4096)) as i from d))"""
-_EDGES = """e as (select a.l_partkey as s, b.l_partkey as o, count(*) as w from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey
- and a.l_linenumber = 1 and b.l_linenumber = 2 and a.l_partkey <> b.l_partkey group by all),
-n as (select p_partkey as id, 'Part#' || p_partkey as name, p_brand as path, p_type as language, p_size::bigint as lines from part),
-t as (select distinct l_partkey as s, l_suppkey as o from lineitem where l_quantity >= 49),
-entry as (select distinct s as root from e where s not in (select o from e)),
-deg as (select node, sum(come)::bigint as fan_in, sum(go)::bigint as fan_out, count(*) as degree from
- (select node, other, max(go) as go, max(come) as come from (select s as node, o as other, 1 as go, 0 as come from e union all select o, s, 0, 1 from e) group by all) group by node)"""
-QUERY = "the erand of tion"
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
+# words that documents hold, and an identifier
+QUERY = "die est"
 
 
 # ------------------------------------------------------------------- ingest
@@ -80,11 +65,12 @@ def claims_by_predicate(s, d):
     return _claims(s, d).groupBy("predicate").agg(F.count("*").alias("n"))
 
 
-_ENT_SQL = rf"""{_CHUNKS}, pl as (select doc_id, ord, regexp_replace(text, '[^\x00-\x7F]', '_', 'g') as text from ch),
+_ENT_SQL = rf"""{_CHUNKS}, pl as (select doc_id, ord, regexp_replace(regexp_replace(text, '[^\x00-\x7F\pP\pS\pZ\pC]', '_', 'g'), '[^\x00-\x7F]', chr(1), 'g') as text from ch),
+ur as (select doc_id, ord, regexp_replace(text, '[\pL\pN_](https?://)', '_\1', 'g') as text from ch),
 raw as (select doc_id, ord, 'person' as kind, unnest(regexp_extract_all(text, '{ingest.PERSON}')) as x from pl
  union all select doc_id, ord, 'version', unnest(regexp_extract_all(text, '{ingest.VERSION}')) from pl
  union all select doc_id, ord, 'organisation', unnest(regexp_extract_all(text, '{ingest.ORG}', 1)) from pl
- union all select doc_id, ord, 'url', regexp_replace(unnest(regexp_extract_all(text, '{ingest.URL.replace("'", "''")}')), '[.,);\]]+$', '') from pl),
+ union all select doc_id, ord, 'url', regexp_replace(unnest(regexp_extract_all(text, '{ingest.URL.replace("'", "''")}')), '[.,);\]]+$', '') from ur),
 ent as (select distinct doc_id, ord, kind, case kind when 'organisation' then regexp_replace(lower(regexp_replace(trim(x), '\s+', ' ', 'g')), '\.+$', '') else lower(trim(x)) end as canonical from raw
  where kind <> 'person' or not regexp_matches(x, '^({"|".join(ingest.STOP_TITLES)}) '))"""
 
@@ -99,10 +85,14 @@ def facet_entity_kind(s, d):
     return search.facet(ingest.entities(V.chunks(s, d)), F.col("kind"), "kind")
 
 
-@query("urls_from_pages", rf"select page_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(url, '[^\x00-\x7F]', '_', 'g'), '{ingest.URL.replace(chr(39), chr(39) * 2)}')), '[.,);\]]+$', '') as url from pages")
+_URLS = ingest.URL.replace("'", "''")
+
+
+@query("urls_from_pages", rf"""with u as (select page_id, unnest(regexp_extract_all(regexp_replace(url || ' ' || html, '[\pL\pN_](https?://)', '_\1', 'g'), '{_URLS}')) as u from pages)
+select page_id, lower(trim(regexp_replace(u, '[.,);\]]+$', ''))) as url from u group by all""")
 def urls_from_pages(s, d):
-    p = V.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).cast("long").alias("ord"), F.col("url").alias("text"))
-    return ingest.entities(p).where("kind = 'url'").select(F.col("doc_id").alias("page_id"), F.col("display").alias("url"))
+    p = V.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).cast("long").alias("ord"), F.concat_ws(" ", "url", "html").alias("text"))
+    return ingest.entities(p).where("kind = 'url'").select(F.col("doc_id").alias("page_id"), F.col("canonical").alias("url"))
 
 
 @query("cooccurrence_pairs", f"""with {_ENT_SQL}, x as (select doc_id, ord, kind || ':' || canonical as en, count(*) over (partition by doc_id, ord) as k from ent)
@@ -156,18 +146,24 @@ def hybrid_rrf(s, d):
     return search.hybrid_search(V.texts(s, d), QUERY)
 
 
-_HASH = "tf as (select id, ('0x' || substr(sha256(x), 1, 8))::bigint % 256 as idx, count(*) as tf from (select item_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as x from benchmark) group by all), nm as (select id, sqrt(sum(tf * tf)) as norm from tf group by id), v as (select id, idx, tf / norm as w from tf join nm using (id))"
+_HASH = f"""{_CHUNKS}, ck as (select doc_id || ':' || ord as id, text from ch),
+tf as (select id, ('0x' || substr(sha256(x), 1, 8))::bigint % 256 as idx, count(*) as tf from (select id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as x from ck) group by all),
+nm as (select id, sqrt(sum(tf * tf)) as norm from tf group by id), v as (select id, idx, tf / norm as w from tf join nm using (id))"""
+
+
+def _chunk_texts(s, d):
+    return V.chunks(s, d).select(F.concat_ws(":", "doc_id", "ord").alias("id"), "text")
 
 
-@query("hashing_similarity", f"""with {_HASH}, q0 as (select ('0x' || substr(sha256(x), 1, 8))::bigint % 256 as idx, count(*) as tf from (select unnest(['the', 'erand', 'of', 'tion']) as x) group by 1),
+@query("hashing_similarity", f"""with {_HASH}, q0 as (select ('0x' || substr(sha256(x), 1, 8))::bigint % 256 as idx, count(*) as tf from (select unnest({search.query_tokens(QUERY, 99)}) as x) group by 1),
 q as (select idx, tf / (select sqrt(sum(tf * tf)) from q0) as qw from q0) select id, round(sum(w * qw), 6) as score from v join q using (idx) group by id order by score desc, id limit 10""")
 def hashing_similarity(s, d):
-    return search.similarity_search(V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), QUERY)
+    return search.similarity_search(_chunk_texts(s, d), QUERY)
 
 
-@query("near_duplicate_chunks", f"with {_HASH} select a.id as a, b.id as b, round(sum(a.w * b.w), 6) as score from v a join v b on a.idx = b.idx and a.id < b.id group by 1, 2 having round(sum(a.w * b.w), 6) >= 0.6")
+@query("near_duplicate_chunks", f"with {_HASH} select a.id as a, b.id as b, round(sum(a.w * b.w), 6) as score from v a join v b on a.idx = b.idx and a.id < b.id group by 1, 2 having round(sum(a.w * b.w), 6) >= 0.9")
 def near_duplicate_chunks(s, d):
-    return search.similar_pairs(V.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), 0.6)
+    return search.similar_pairs(_chunk_texts(s, d), 0.9)
 
 
 @query("dense_topk", """with q as (select embedding::double[] as e from embeddings where vec_id = (select min(vec_id) from embeddings))
@@ -231,16 +227,26 @@ def confidence_score(s, d):
     return li.select("l_partkey", F.round(evidence.confidence(F.col("q"), F.col("a"), F.col("r"), F.col("days")), 6).alias("score"))
 
 
-@query("redaction_counts", rf"""select doc_id, len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{{16}}\b'))::bigint as aws_access_key,
- len(regexp_extract_all(regexp_replace(text, '\bAKIA[0-9A-Z]{{16}}\b', '[REDACTED:aws_access_key]', 'g'), '{T.REDACTIONS[-1][1].replace("'", "''")}'))::bigint as password_kv from documents""")
-def redaction_counts(s, d):
-    c = T.redaction_counts(F.col("text"))
-    return V.table(s, d, "documents").select("doc_id", c[0], c[-1])
+def _redaction_sql() -> str:
+    """Rule after rule on what the rules before have left; RE2 has no look-around, so the one rule that needs it counts its runs."""
+    text, out = "coalesce(text, '')", []
+    for name, pattern, to in T.REDACTIONS:
+        p = pattern.replace("'", "''")
+        if name == "aws_secret_key":
+            run = "regexp_extract_all({t}, '[A-Za-z0-9/+=]+')"
+            out.append(f"len(list_filter({run.format(t=text)}, lambda x: length(x) = 40))::bigint as {name}")
+            text = f"regexp_replace(regexp_replace({text}, '(^|[^A-Za-z0-9/+=])[A-Za-z0-9/+=]{{40}}($|[^A-Za-z0-9/+=])', '\\1{to}\\2', 'g'), '(^|[^A-Za-z0-9/+=])[A-Za-z0-9/+=]{{40}}($|[^A-Za-z0-9/+=])', '\\1{to}\\2', 'g')"
+            continue
+        out.append(f"len(regexp_extract_all({text}, '{p}'))::bigint as {name}")
+        text = f"regexp_replace({text}, '{p}', '{to.replace('$', chr(92))}', 'g')"
+    return f"select doc_id, {', '.join(out)}, sha256({text}) as sha256 from documents"
 
 
-@query("redacted")
-def redacted(s, d):
-    return V.table(s, d, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
+@query("redaction_counts", _redaction_sql())
+def redaction_counts(s, d):
+    """Matches of all eleven rules, and the digest of what is left."""
+    t = F.coalesce("text", F.lit(""))
+    return V.table(s, d, "documents").select("doc_id", *T.redaction_counts(t), F.sha2(T.redact(t), 256).alias("sha256"))
 
 
 @query("security_review", "select conv_id, turn, " + " + ".join(f"(case when regexp_matches(text, '{p}') then {w} else 0 end)" for _, p, w in [(n, p.replace("[\\s\\S]{0,4000}", "[\\s\\S]*").replace("[\\s\\S]{0,2000}", "[\\s\\S]*"), w) for n, p, w in T.INJECTIONS]) + " as score from conversations")
@@ -251,12 +257,6 @@ def security_review(s, d):
 # -------------------------------------------------------------------- graph
 
 
-def _walk(direction: str, depth: int, roots: str) -> str:
-    step = {"out": "e.s = r.node", "in": "e.o = r.node", "both": "(e.s = r.node or e.o = r.node)"}[direction]
-    to = {"out": "e.o", "in": "e.s", "both": "case when e.s = r.node then e.o else e.s end"}[direction]
-    return f"r(root, node, distance) as (select root, root, 0 from ({roots}) union select r.root, {to}, r.distance + 1 from r join e on {step} where r.distance < {depth}), b as (select root, node, min(distance)::bigint as distance from r group by all)"
-
-
 for _n, _dir, _k, _root in (("neighbourhood", "both", 2, "select min(s) as root from e"), ("blast_radius", "in", 3, "select min(o) as root from e"), ("execution_flow", "out", 4, "select min(s) as root from e")):
     query(_n, f"with recursive {_EDGES}, {_walk(_dir, _k, _root)} select * from b")(lambda s, d, x=_dir, k=_k, n=_n: graph.bfs(V.edges(s, d), V.first_callee(s, d) if n == "blast_radius" else V.first_caller(s, d), k, x))
 
@@ -266,22 +266,22 @@ def flow_chains(s, d):
     return graph.chains(V.edges(s, d), V.first_caller(s, d), 3)
 
 
-@query("reach_counts", f"with recursive {_EDGES}, {_walk('out', 3, 'select root from entry')} select node, count(*) as entry_points from b where distance > 0 group by 1")
-def reach_counts(s, d):
-    return graph.bfs(V.edges(s, d), V.entries(s, d), 3).where("distance > 0").groupBy("node").agg(F.count("*").alias("entry_points"))
+_REACH = "r(root, node) as (select root, root from entry union select r.root, e.o from r join e on e.s = r.node), b as (select root, node, (root <> node)::bigint as distance from r)"
 
 
-_SAME = "se as (select s, o, w from e join part a on s = a.p_partkey join part b on o = b.p_partkey where a.p_brand = b.p_brand)"
+@query("reach_counts", f"with recursive {_EDGES}, {_REACH} select node, count(*) as entry_points from b where distance > 0 group by 1")
+def reach_counts(s, d):
+    return graph.bfs(V.edges(s, d), V.entries(s, d), None).where("distance > 0").groupBy("node").agg(F.count("*").alias("entry_points"))
 
 
-def _same_brand(s, d):
-    p = lambda n: V.partition(s, d).select(F.col("node").alias(n), F.col("c").alias(f"c_{n}"))
-    return V.edges(s, d).join(p("s"), "s").join(p("o"), "o").where("c_s = c_o").select("s", "o", "w")
+@query("components", f"with recursive {_EDGES}, u as (select s as x, o as y from e union select o, s from e), r(x, y) as (select x, x from u union select r.x, u.y from r join u on r.y = u.x) select x as node, min(y) as component from r group by 1")
+def components(s, d):
+    return graph.components(V.edges(s, d))
 
 
-@query("components", f"with recursive {_EDGES}, {_SAME}, u as (select s as x, o as y from se union select o, s from se), r(x, y) as (select x, x from u union select r.x, u.y from r join u on r.y = u.x) select x as node, min(y) as component from r group by 1")
-def components(s, d):
-    return graph.components(_same_brand(s, d))
+@query("strong_components", f"with recursive {_EDGES}, r(x, y) as (select s, s from e union select o, o from e union select r.x, e.o from r join e on e.s = r.y) select a.x as node, min(a.y) as scc from r a join r b on a.x = b.y and a.y = b.x group by 1")
+def strong_components(s, d):
+    return graph.strong_components(V.edges(s, d))
 
 
 @query("degree_hubs", f"with {_EDGES} select node, fan_in, fan_out, degree from deg order by degree desc, node limit 20")
@@ -296,14 +296,11 @@ def modularity_given(s, d):
     return graph.quality(V.edges(s, d), V.partition(s, d))
 
 
-for _n, _f in (("betweenness", graph.betweenness), ("cut_points", graph.cuts), ("strong_components", graph.strong_components), ("communities", graph.communities)):
-    query(_n)(lambda s, d, f=_f: f(_same_brand(s, d)))
+for _n, _f in (("betweenness", graph.betweenness), ("cut_points", graph.cuts), ("communities", graph.communities), ("resolution_sweep", graph.sweep)):
+    query(_n)(lambda s, d, f=_f: f(V.edges(s, d)))
 
 # --------------------------------------------------------------------- code
 
-_PART = "pt as (select p_partkey as node, p_brand as c from part)"
-
-
 @query("coupling_scores", f"""with {_EDGES}, b0 as (select quantile_disc(degree, 0.25) as low, quantile_disc(degree, 0.9) as high from deg), bd as (select low, case when high <= low then coalesce((select min(degree) from deg where degree > low), high) else high end as high from b0),
 x as (select s, o, a.path as ca, b.path as cb, a.language as la, b.language as lb, da.degree as d1, db.degree as d2 from e join n a on s = a.id join n b on o = b.id join deg da on da.node = s join deg db on db.node = o)
 select s, o, round((case when ca <> cb then 0.45 else 0 end) + (case when la <> lb then 0.35 else 0 end) + (case when high > low and ((d1 <= low and d2 >= high) or (d2 <= low and d1 >= high)) then 0.2 else 0 end), 6)::double as score from x, bd
@@ -358,7 +355,7 @@ def component_edges(s, d):
     return code.component_edges(V.nodes(s, d), V.edges(s, d))
 
 
-@query("risk_scores", f"""with recursive {_EDGES}, {_walk('out', 3, 'select root from entry')}, rc as (select node as id, count(*) as reach from b where distance > 0 group by 1),
+@query("risk_scores", f"""with recursive {_EDGES}, {_REACH}, rc as (select node as id, count(*) as reach from b where distance > 0 group by 1),
 un as (select s, o from e union all select o, s from e), cr as (select s as id, count(distinct y.path) as crossing from un join n x on s = x.id join n y on o = y.id where x.path <> y.path group by 1),
 f as (select n.id, n.name, n.path, coalesce(reach, 0) as reach, coalesce(fan_in, 0) as callers, coalesce(crossing, 0) as crossing, n.id in (select s from t) as tested from n left join rc using (id) left join deg on node = n.id left join cr on cr.id = n.id),
 k as (select *, case when min(reach) over () = max(reach) over () then 0 else round(cume_dist() over (order by reach), 6) end as r1, case when min(callers) over () = max(callers) over () then 0 else round(cume_dist() over (order by callers), 6) end as r2, case when min(crossing) over () = max(crossing) over () then 0 else round(cume_dist() over (order by crossing), 6) end as r3 from f),
@@ -369,13 +366,16 @@ def risk_scores(s, d):
     return code.risk(V.nodes(s, d), V.edges(s, d), V.tests(s, d), V.partition(s, d), V.entries(s, d))
 
 
-@query("impact_radius", f"with recursive {_EDGES}, {_walk('in', 3, 'select min(o) as root from e')}, x as (select node, distance, lines from b join n on id = node where distance > 0) select node, distance, round(round(0.5 / (1 + distance), 4) + 0.3 + round(0.2 * cume_dist() over (order by lines), 4), 4)::double as score from x")
+@query("impact_radius", f"""with recursive {_EDGES}, r(node, distance, c) as (select min(o), 0, 1.0::double from e union select e.s, r.distance + 1, r.c * {_SURE}::double from r join e on e.o = r.node where r.distance < 3),
+b as (select node, min(distance) as distance, arg_min(c, (distance, -c)) as c from r group by node), x as (select node, distance::bigint as distance, c, lines from b join n on id = node where distance > 0)
+select node, distance, round(round(0.5 / (1 + distance), 4) + round(0.3 * c, 4) + round(0.2 * cume_dist() over (order by lines), 4), 4)::double as score from x""")
 def impact_radius(s, d):
-    return code.impact(V.nodes(s, d), V.edges(s, d), V.first_callee(s, d))
+    return code.impact(V.nodes(s, d), V.edges(s, d).withColumn("w", F.round(1 - 1.0 / (1 + F.col("w")), 6)), V.first_callee(s, d))
 
 
 @query("refactor_moves", f"""with {_EDGES}, {_PART}, un as (select s, o from e union select o, s from e), x as (select s, a.c as own, b.c as other, count(*) as k from un join pt a on a.node = s join pt b on b.node = o group by all),
-y as (select s, own, sum(k) as n, max(case when other <> own then struct_pack(k := k, c := other) end) as top from x group by all) select s as node, own, top.c as other, round(top.k / n, 6) as pull from y where n >= 3 and top is not null and round(top.k / n, 6) > 0.5""")
+y as (select s, own, sum(k) as n, max(case when other <> own then struct_pack(k := k, c := other) end) as top from x group by all),
+z as (select s as node, own, top.c as other, round(top.k / n, 6) as pull from y where n >= 3 and top is not null) select * from z where pull > 0.5 and pull >= (select quantile_disc(pull, 0.75) from z)""")
 def refactor_moves(s, d):
     return code.move_suggestions(V.edges(s, d), V.partition(s, d))
 
@@ -404,9 +404,9 @@ def file_churn(s, d):
     return V.commits(s, d).groupBy("file").agg(F.count_distinct("commit").alias("commits"))
 
 
-@query("flow_catalogue", f"with recursive {_EDGES}, {_walk('out', 2, 'select root from entry')}, x as (select root, count(*) as steps, count(distinct path) as paths from b join n on id = node group by 1) select root, steps, paths, round(0.5 * steps / max(steps) over () + 0.5 * paths / max(paths) over (), 6) as rank from x")
+@query("flow_catalogue", f"with recursive {_EDGES}, {_walk('out', 8, 'select root from entry')}, x as (select root, count(*) as steps, count(distinct path) as paths from b join n on id = node group by 1) select root, steps, paths, round(0.5 * steps / max(steps) over () + 0.5 * paths / max(paths) over (), 6) as rank from x")
 def flow_catalogue(s, d):
-    return code.flow_catalogue(V.edges(s, d), V.entries(s, d), V.nodes(s, d), 2)
+    return code.flow_catalogue(V.edges(s, d), V.entries(s, d), V.nodes(s, d), 8)
 
 
 @query("confidence_tiers", f"with {_EDGES}, x as (select case when w / 2.0 >= 1 then 'extracted' when w / 2.0 >= 0.61 then 'inferred' else 'ambiguous' end as tier from e) select tier, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from x group by 1")
@@ -516,3 +516,7 @@ def html_titles(s, d):
 @query("ext_tumbling_events", "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def ext_tumbling_events(s, d):
     return watch.tumbling_counts(V.table(s, d, "events"))
+
+
+# the rest of the catalogue registers itself
+from evigraph.plans import code_queries, ledger_queries  # noqa: E402, F401

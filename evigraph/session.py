@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "evigraph", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -20,3 +25,25 @@ def local_session(name: str = "evigraph", cores: int | str = "*", partitions: in
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a local master makes one of its own and any other is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_folder, "local", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="evigraph-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        folder = shared_folder.local = f"file://{path}"
+    return folder.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later steps start from files that survive any executor. Removed when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/evigraph-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
