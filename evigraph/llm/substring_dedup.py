@@ -7,8 +7,9 @@ bucket alone can sort its windows and tell, exactly, which are in a smaller
 document too. Packed strings of one bucket and one task share a compressed row.
 
 Grams that make up more than `hot_share` of all grams come last in the order of
-minimisers, so that no bucket grows with one phrase; there are at most
-1 / hot_share of them, and only they are broadcast. A window of nothing but such
+minimisers, so that no bucket grows with one phrase. The share shrinks with the
+corpus, as that of a bucket does, down to HOT_LEAST: at most 1 / HOT_LEAST grams
+(8 MB) are broadcast. A window of nothing but such
 grams takes a second path: equal packed strings are combined in each task and
 again by an aggregation, their distinct windows are counted, and the outcome is
 joined back to the tasks' combined rows. No group of copies meets in one task.
@@ -31,6 +32,7 @@ from . import common as C
 _HOT = C.U(1 << 63)
 _FLUSH = 24 << 20  # packed bytes that a task gathers before it writes rows
 _BUCKET = 6 << 20  # packed bytes that a bucket should hold
+HOT_LEAST = 2.0**-20
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -307,9 +309,9 @@ def repeated_runs(docs: DataFrame, k: int = 13, m: int = 3, hot_share: float = 2
     """(doc, begin, n, crc): n windows from word `begin` of document `doc` are in a smaller document too."""
     C.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = hot_grams(docs, k, m, hot_share, hot_least)
-    parts = C.shuffle_partitions(docs.sparkSession)
-    buckets = max(2 * parts, C.input_bytes(docs) * 5 // _BUCKET)
+    size = 5 * C.input_bytes(docs)
+    hot = hot_grams(docs, k, m, max(HOT_LEAST, min(hot_share, _BUCKET / max(1, size))), hot_least)
+    buckets = max(2 * C.shuffle_partitions(docs.sparkSession), size // _BUCKET)
     light = docs.mapInArrow(_pack_light(k, m, hot, buckets), _PACKED).groupBy("bucket").applyInArrow(_count_light(k), _RUNS)
     if not hot:
         return light
