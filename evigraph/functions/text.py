@@ -142,5 +142,52 @@ def confidence_tier(weight: Column) -> Column:
 
 def security_sensitive(name: Column, path: Column) -> Column:
     # The vocabulary that marks a name for review.
-    terms = "auth credential crypt decrypt encrypt hash login passwd password permission privilege secret session sign token verify"
-    return F.lower(F.concat_ws(" ", name, path)).rlike("|".join(terms.split()))
+    terms = ["auth", "credential", "crypt", "decrypt", "encrypt", "hash", "login", "passwd", "password", "permission", "privilege", "secret", "session", "sign", "token", "verify"]
+    return F.lower(F.concat_ws(" ", name, path)).rlike("|".join(terms))
+
+
+def path_component(path: Column) -> Column:
+    """The folder of a path; (root) for a bare name."""
+    return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("(root)")
+
+
+def dotted_form(path: Column) -> Column:
+    """A path as a dotted name, its extension left out."""
+    return F.replace(F.regexp_replace(path, r"\.[A-Za-z0-9]+$", ""), F.lit("/"), F.lit("."))
+
+
+def query_identifiers(query: Column, most: int = 16) -> Column:
+    """Words of a query that look like identifiers (a dot, an underscore or a hump inside), each once whatever its case."""
+    words = F.regexp_extract_all(query, F.lit(r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::|/)[A-Za-z0-9_]+)*"), F.lit(0))
+    some = F.filter(words, lambda w: w.rlike(r"[a-z0-9][A-Z]|._|\.|::|/"))
+    low = F.transform(some, F.lower)
+    return F.slice(F.filter(some, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), 1, most)
+
+
+def enriched(text: Column, **about: Column) -> Column:
+    """A text for embedding: a line for each thing known about it, then the text."""
+    return F.concat_ws("\n", *[F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in about.items()], text)
+
+
+def line_count(first: Column, last: Column) -> Column:
+    """Lines from first to last; 0 where either is unknown or the span is empty."""
+    return F.coalesce(F.greatest(last - first + 1, F.lit(0)), F.lit(0)).cast("long")
+
+
+# Prices in dollars for a million tokens, by tier; an example table, to be replaced by one's own.
+PRICES = {"small": 0.25, "medium": 3.0, "large": 15.0}
+
+
+def cost_usd(tokens: Column, tier: Column, prices: dict[str, float] | None = None) -> Column:
+    out = F.lit(None).cast("double")
+    for k, v in (prices or PRICES).items():
+        out = F.when(tier == k, v).otherwise(out)
+    return F.round(tokens * out / 1e6, 6)
+
+
+def cosine_counts(a: Column, b: Column) -> Column:
+    """Cosine of the counts of two arrays' entries; 0 if either is empty."""
+    times = lambda x, v: F.size(F.filter(x, lambda y: y == v))
+    dot = lambda x, y: F.aggregate(F.array_distinct(x), F.lit(0), lambda s, v: s + times(x, v) * times(y, v))
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)

@@ -27,11 +27,6 @@ def keyword_search(chunks: DataFrame, query: str, limit: int | None = 10, head:
     return out.orderBy(F.desc("score"), "id").limit(limit) if limit else out
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, id, tf)."""
-    return chunks.select("id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-
-
 def bm25_search(chunks: DataFrame, query: str, limit: int | None = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score): BM25 with the idf floored at 1e-6, over the query's first twelve tokens (any of them).
 
@@ -141,3 +136,25 @@ def identifier_match(wanted: list[str], parts: Column) -> Column:
         at = lambda n, w: lambda i: F.slice(parts, i, n) == w
         hits = hits + F.exists(ahead, at(len(q), want)).cast("int")
     return F.round(hits / max(1, len(wanted)), 6)
+
+
+def identifier_arm(names: DataFrame, wanted: list[str], limit: int = 20) -> DataFrame:
+    """(id, score) of names (id, name): the share of the wanted identifiers that a name's parts hold, nothing else."""
+    x = names.select("id", identifier_match(wanted, T.split_identifier(F.col("name"))).alias("score")).where("score > 0")
+    return x.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def boosted(hits: DataFrame, wanted: list[str], limit: int = 10) -> DataFrame:
+    """(id, score) of a bounded list of hits (id, score, name): matches of identifiers move up by the mean gap between neighbours."""
+    gap = hits.agg(((F.max("score") - F.min("score")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("gap"))
+    x = hits.withColumn("m", identifier_match(wanted, T.split_identifier(F.col("name")))).join(F.broadcast(gap))
+    return x.select("id", F.round(F.col("score") + F.col("gap") * F.col("m"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def federated(roots: dict[str, DataFrame], limit: int = 10) -> DataFrame:
+    """(root, id, score): the best of each root (id, score), merged."""
+    out = None
+    for name, hits in roots.items():
+        own = hits.orderBy(F.desc("score"), "id").limit(limit).select(F.lit(name).alias("root"), "id", "score")
+        out = own if out is None else out.unionAll(own)
+    return out.orderBy(F.desc("score"), "root", "id").limit(limit)

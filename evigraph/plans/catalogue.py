@@ -8,7 +8,9 @@ from evigraph.functions import text as T
 from evigraph.operators import code, context, evidence, graph, ingest, search
 from evigraph.plans import views as V
 from evigraph.plans.sql import CHUNKS as _CHUNKS
+from evigraph.plans.sql import CLAIMS as _CLAIM_SQL
 from evigraph.plans.sql import EDGES as _EDGES
+from evigraph.plans.sql import ENTITIES as _ENT_SQL
 from evigraph.plans.sql import PART as _PART
 from evigraph.plans.sql import SURE as _SURE
 from evigraph.plans.sql import walk as _walk
@@ -29,28 +31,6 @@ def chunk_slices(s, d):
     return V.chunks(s, d).select("doc_id", "ord", "text")
 
 
-_SAID = "^([A-Z][A-Za-z0-9 .,''-]{{2,80}})\\s+{v}\\s+([a-zA-Z0-9][^.!?]{{2,200}})[.!?]?$"
-_VERB_SQL = " union all ".join(
-    f"select doc_id, ord, x, '{n}' as predicate, {i} as k, regexp_extract(x, '{_SAID.format(v=v)}', 1) as subject, regexp_extract(x, '{_SAID.format(v=v)}', 2) as object from st where length(x) <= 400 and contains(x, '{v.rstrip('s?')}')"
-    for i, (n, v) in enumerate(ingest.VERBS)
-)
-_CLAIM_SQL = rf"""{_CHUNKS},
-ln as (select doc_id, ord, i, line, sum(case when regexp_matches(line, '^ {{0,3}}(```|~~~)') then 1 else 0 end) over (partition by doc_id, ord order by i) % 2 as fenced
- from (select doc_id, ord, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from (select doc_id, ord, string_split(text, chr(10)) as ls from ch))),
-q as (select doc_id, ord, i, regexp_replace(line, '^ {{0,3}}>+\s?', '') as line, fenced = 1 or regexp_matches(line, '^ {{0,3}}(```|~~~)') as gone from ln),
-m as (select *, gone or trim(line, ' ' || chr(9)) = '' or regexp_matches(line, '^ {{0,3}}(=+|-{{2,}}|\*{{3,}}|_{{3,}})\s*$') as blank,
- regexp_matches(line, '^ {{0,3}}#{{1,6}}\s+') as head, regexp_matches(line, '^ {{0,3}}([-*+]|[0-9]{{1,3}}[.)])\s+') as item from q),
-g as (select *, sum(case when blank or head or item or coalesce(ph, false) or coalesce(pb, false) then 1 else 0 end) over (partition by doc_id, ord order by i) as b
- from (select *, lag(head) over (partition by doc_id, ord order by i) as ph, lag(blank) over (partition by doc_id, ord order by i) as pb from m)),
-bl as (select doc_id, ord, b, trim(regexp_replace(string_agg(regexp_replace(regexp_replace(
-  regexp_replace(line, case when head then '^ {{0,3}}#{{1,6}}\s+' when item then '^ {{0,3}}([-*+]|[0-9]{{1,3}}[.)])\s+' else '^\b$' end, ''),
-  '\[([^\]]*)\]\([^)\s]*\)', '\1', 'g'), '[*_`]{{1,3}}', '', 'g'), ' ' order by i), '\s+', ' ', 'g')) as x from g where not blank group by all),
-st as (select doc_id, ord, trim(unnest(string_split(regexp_replace(regexp_replace(x, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))) as x from bl where length(x) between 1 and 4000),
-c as ({_VERB_SQL}),
-f as (select doc_id, ord, x, arg_min(predicate, k) as predicate, trim(arg_min(subject, k), ' .,') as subject, trim(arg_min(object, k), ' .,') as object from c where subject <> '' group by all),
-claims as (select distinct doc_id, ord, predicate, lower(subject) as subject, lower(object) as object from f)"""
-
-
 def _claims(s, d):
     return ingest.claims(V.chunks(s, d))
 
@@ -65,16 +45,6 @@ def claims_by_predicate(s, d):
     return _claims(s, d).groupBy("predicate").agg(F.count("*").alias("n"))
 
 
-_ENT_SQL = rf"""{_CHUNKS}, pl as (select doc_id, ord, regexp_replace(regexp_replace(text, '[^\x00-\x7F\pP\pS\pZ\pC]', '_', 'g'), '[^\x00-\x7F]', chr(1), 'g') as text from ch),
-ur as (select doc_id, ord, regexp_replace(text, '[\pL\pN_](https?://)', '_\1', 'g') as text from ch),
-raw as (select doc_id, ord, 'person' as kind, unnest(regexp_extract_all(text, '{ingest.PERSON}')) as x from pl
- union all select doc_id, ord, 'version', unnest(regexp_extract_all(text, '{ingest.VERSION}')) from pl
- union all select doc_id, ord, 'organisation', unnest(regexp_extract_all(text, '{ingest.ORG}', 1)) from pl
- union all select doc_id, ord, 'url', regexp_replace(unnest(regexp_extract_all(text, '{ingest.URL.replace("'", "''")}')), '[.,);\]]+$', '') from ur),
-ent as (select distinct doc_id, ord, kind, case kind when 'organisation' then regexp_replace(lower(regexp_replace(trim(x), '\s+', ' ', 'g')), '\.+$', '') else lower(trim(x)) end as canonical from raw
- where kind <> 'person' or not regexp_matches(x, '^({"|".join(ingest.STOP_TITLES)}) '))"""
-
-
 @query("entities", f"with {_ENT_SQL} select * from ent")
 def entities(s, d):
     return ingest.entities(V.chunks(s, d)).select("doc_id", "ord", "kind", "canonical")
