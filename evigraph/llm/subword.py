@@ -10,6 +10,7 @@ fixed-point integers, so the sum does not depend on how texts are batched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,20 +79,46 @@ class Bags:
                 out[:, c] += total[first[1:]] - total[first[:-1]]
         return out, count
 
+    def counted(self, texts: list[str], at_once: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(distinct buckets, how often each, size of the bag) of each text, a few texts at a time."""
+        for k in range(0, len(texts), at_once):
+            for lo, hi, words in C.pieces(lowered(pa.array(texts[k : k + at_once], pa.large_string()))):
+                here: list[list[np.ndarray]] = [[] for _ in range(hi - lo)]
+                for bucket, first in self.grams(words):
+                    for i in range(hi - lo):
+                        here[i].append(bucket[first[i] : first[i + 1]])
+                for parts in here:
+                    b, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
+                    yield b.astype(np.uint32), c.astype(np.uint32), int(c.sum())
+
     def bag(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(distinct buckets, share of the bag) of each text."""
-        got: list[list[np.ndarray]] = []
-        for lo, hi, words in C.pieces(lowered(pa.array(texts, pa.large_string()))):
-            here: list[list[np.ndarray]] = [[] for _ in range(hi - lo)]
-            for bucket, first in self.grams(words):
-                for i in range(hi - lo):
-                    here[i].append(bucket[first[i] : first[i + 1]])
-            got += here
-        out = []
-        for parts in got:
-            b, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint32), np.empty(0))
-            out.append((b, (c / max(1, c.sum())).astype(np.float32)))
-        return out
+        return [(b, (c / max(1, n)).astype(np.float32)) for b, c, n in self.counted(texts)]
+
+
+@dataclass
+class _Held:
+    """Bags of many texts in two flat arrays of bounded width; what `keep` denies is not held, but counts in the size."""
+
+    first: np.ndarray
+    buckets: np.ndarray
+    counts: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, bags: Bags, texts: list[str], keep: np.ndarray) -> _Held:
+        held, sizes = [], []
+        for b, c, n in bags.counted(texts):
+            k = keep[b]
+            held.append((b[k], np.minimum(c[k], 65535).astype(np.uint16)))
+            sizes.append(max(1, n))
+        first = np.append(0, np.cumsum([len(b) for b, _ in held]))
+        join = lambda i, kind: np.concatenate([x[i] for x in held]) if held else np.empty(0, kind)
+        return cls(first, join(0, np.uint32), join(1, np.uint16), np.array(sizes, np.float32))
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.first[i], self.first[i + 1])
+        return self.buckets[at], self.counts[at].astype(np.float32) / self.sizes[i]
 
 
 @dataclass
@@ -126,17 +153,16 @@ def fit(texts: list[str], labels: list, bags: Bags, dim: int = 8, epochs: int =
     w = (rng.standard_normal((dim, len(classes))) * 0.5).astype(np.float32)
     b = np.zeros(len(classes), np.float32)
     ge, gw, gb = np.full(bags.buckets, 1e-8, np.float32), np.full(w.shape, 1e-6, np.float32), np.full(b.shape, 1e-6, np.float32)
-    bag = bags.bag(texts)
-    often = np.zeros(bags.buckets, np.int64)
-    for idx, _ in bag:
+    often = np.zeros(bags.buckets, np.int32)
+    for idx, _, _ in bags.counted(texts):
         often[idx] += 1
     # what few texts have teaches noise only; it counts in a bag's size, with a vector of zero
-    bag = [(idx[often[idx] >= least_df], share[often[idx] >= least_df]) for idx, share in bag]
     e[often < least_df] = 0
+    bag = _Held.of(bags, texts, often >= least_df)
     cost = np.array([(weights or {}).get(c, 1.0) for c in classes], np.float32)
     for epoch in range(epochs if len(classes) > 1 else 0):
         step = rate * (1 - epoch / epochs)
-        for i in rng.permutation(len(bag)):
+        for i in rng.permutation(len(texts)):
             idx, share = bag[i]
             mean = share @ e[idx] * scale
             z = mean @ w + b
@@ -202,14 +228,14 @@ def prune(model: Model, texts: list[str], labels: list, shares: tuple[float, ...
     y = np.array([t == model.classes[-1] for t in labels], float)
     if len(model.classes) != 2 or not 0 < y.sum() < len(y):
         return model
-    bag = model.bags.bag(texts)
-    table = model.table[:, 0].astype(np.float64)
+    table = model.table[:, 0].astype(np.float32)
+    bag = _Held.of(model.bags, texts, table != 0)
     size = np.abs(table[table != 0])
     best = None
     for share in shares:
         cut = share * np.percentile(size, 99.9) if len(size) else 0.0
         less = np.sign(table) * np.maximum(np.abs(table) - cut, 0)
-        a, b, loss = _platt(np.array([s @ less[i] for i, s in bag]) / _SCALE, y)
+        a, b, loss = _platt(np.array([x @ less[b] for b, x in map(bag.__getitem__, range(len(texts)))]) / _SCALE, y)
         if a > 0 and (best is None or loss < best[0]):
             best = (loss, less * a, b)
     if best is None:
