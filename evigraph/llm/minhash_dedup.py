@@ -17,9 +17,10 @@ one similar pair in a million, is not verified here). Where several components
 are left, small nodes compare all pairs on full sets and give a star for each
 component, so no pairs leave a task. A larger node that one component dominates
 would not get smaller by branching: its few other members are compared with all
-its members, once for all nodes of that component. Other large nodes branch
-further, and what is still large at the last level is compared block by block:
-nothing is capped.
+its members, once for all nodes of that component. Others of up to WIDE blocks are
+compared block by block, which deals each member no more often than branching
+through the levels would. Larger ones branch further, and what is still large at
+the last level is compared block by block too: nothing is capped.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ T = 64  # tokens of a sketch
 BRANCH = 0.7
 LEAF = 100
 LEVELS = 6
+BLOCK = 256  # members of a block, where a node is compared in blocks
+WIDE = 10  # blocks of a node that is not branched further
 COMPARED = 8 << 20  # bytes of folded texts that a task's group compares
 
 
@@ -329,8 +332,9 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, recall: float = 0.99
         mixed = per.agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("node", "size", "top")
         level = C.settle(level.join(mixed, "node"), f"{base}/level{depth}")
         last = depth == LEVELS
-        # a node is compared as its blocks and their pairs; but for the last level's large ones it is one block
-        small = (level if last else level.where(f"size <= {LEAF}")).withColumn("blocks", F.ceil(F.col("size") / LEAF))
+        # a node is compared as its blocks and their pairs
+        here = level if last else level.where(f"size <= {LEAF} or (2 * top.c < size and size <= {WIDE * BLOCK})")
+        small = here.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
         small = small.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         small = small.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id")
         found = small if found is None else found.unionAll(small)
@@ -339,13 +343,13 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, recall: float = 0.99
         large = level.where(f"size > {LEAF}")
         part = large.where("2 * top.c >= size").selectExpr("top.comp as c", "id", "comp <> top.comp as odd")
         dense = part if dense is None else dense.unionAll(part)
-        large = large.where("2 * top.c < size")
+        large = large.where(f"2 * top.c < size and size > {WIDE * BLOCK}")
         if large.isEmpty():
             break
         level = large.join(classes.select("id", "sketch"), "id").select("node", "id", "n", "comp", "sketch").mapInArrow(_deeper(again if depth == 1 else 1), "node long, id long, n long, comp long")
     # nodes that one component dominates: whoever is not of it against all members, once for all such nodes, in pairs of blocks
     dense = C.settle(dense.distinct(), f"{base}/dense")
-    sizes = dense.groupBy("c").agg(F.ceil(F.count("*") / LEAF).alias("all"), F.ceil(F.sum(F.col("odd").cast("long")) / LEAF).alias("odds")).where("odds > 0")
+    sizes = dense.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("all"), F.ceil(F.sum(F.col("odd").cast("long")) / BLOCK).alias("odds")).where("odds > 0")
     dense = dense.join(sizes, "c").withColumn("h", F.xxhash64("id"))
     left = dense.where("odd").selectExpr("c", "id", "pmod(h, odds) as x", "explode(sequence(0L, all - 1)) as y")
     right = dense.selectExpr("c", "id", "explode(sequence(0L, odds - 1)) as x", "pmod(h, all) as y")
