@@ -197,8 +197,8 @@ def confidence_score(s, d):
     return li.select("l_partkey", F.round(evidence.confidence(F.col("q"), F.col("a"), F.col("r"), F.col("days")), 6).alias("score"))
 
 
-def _redaction_sql() -> str:
-    """Rule after rule on what the rules before have left; RE2 has no look-around, so the one rule that needs it counts its runs."""
+def _redaction_sql(counts: bool) -> str:
+    """Counts by rule and the digest of what is left, or what is left. Rule after rule on what the rules before have left; RE2 has no look-around, so the one rule that needs it counts its runs."""
     text, out = "coalesce(text, '')", []
     for name, pattern, to in T.REDACTIONS:
         p = pattern.replace("'", "''")
@@ -209,16 +209,21 @@ def _redaction_sql() -> str:
             continue
         out.append(f"len(regexp_extract_all({text}, '{p}'))::bigint as {name}")
         text = f"regexp_replace({text}, '{p}', '{to.replace('$', chr(92))}', 'g')"
-    return f"select doc_id, {', '.join(out)}, sha256({text}) as sha256 from documents"
+    return f"select doc_id, {', '.join(out)}, sha256({text}) as sha256 from documents" if counts else f"select doc_id, {text} as text from documents"
 
 
-@query("redaction_counts", _redaction_sql())
+@query("redaction_counts", _redaction_sql(True))
 def redaction_counts(s, d):
     """Matches of all eleven rules, and the digest of what is left."""
     t = F.coalesce("text", F.lit(""))
     return V.table(s, d, "documents").select("doc_id", *T.redaction_counts(t), F.sha2(T.redact(t), 256).alias("sha256"))
 
 
+@query("redacted", _redaction_sql(False))
+def redacted(s, d):
+    return V.table(s, d, "documents").select("doc_id", T.redact(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 @query("security_review", "select conv_id, turn, " + " + ".join(f"(case when regexp_matches(text, '{p}') then {w} else 0 end)" for _, p, w in [(n, p.replace("[\\s\\S]{0,4000}", "[\\s\\S]*").replace("[\\s\\S]{0,2000}", "[\\s\\S]*"), w) for n, p, w in T.INJECTIONS]) + " as score from conversations")
 def security_review(s, d):
     return V.table(s, d, "conversations").select("conv_id", "turn", T.injection_score(F.col("text")).alias("score"))
