@@ -291,9 +291,21 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, component) of all ends of the edges of a partition."""
+    table = pa.Table.from_batches(batches, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    if table.num_rows:
+        v, root = _forest(table.column("a").to_numpy(), table.column("b").to_numpy())
+        low = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, low])), pa.array(np.concatenate([root, low]))], ["id", "component"])
+
+
+def components(edges: DataFrame, rounds: int = 40, together: int = 0) -> DataFrame:
     """(id, component) of every end of the edges (a long, b long): component is the smallest id reachable.
 
+    Where the partitions' contracted edges are no more than `together`, one task
+    joins them up; rounds of joins over many partitions would cost more than that.
+
     Alternating large and small stars; every partition first contracts its own
     edges. A hub's edges are never gathered: minima are aggregated before the
     shuffle, and the join back to a hub can be split. Each round is a table in
@@ -303,6 +315,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     base = scratch(spark)
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = settle(edges.mapInArrow(_contract, "a long, b long"), f"{base}/0")
+    if together and now.count() <= together:
+        return settle(now.coalesce(1).mapInArrow(_labelled, "id long, component long"), f"{base}/labels")
     for k in range(1, rounds):
         ends = now.select(F.col("a").alias("id"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionAll(now.select("b", F.lit(0), F.lit(1)))
         loose = ends.groupBy("id").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where("x > 1 or (x > 0 and y > 0)")

@@ -43,6 +43,7 @@ LEVELS = 6
 BLOCK = 256  # members of a block, where a node is compared in blocks
 WIDE = 10  # blocks of a node that is not branched further
 COMPARED = 8 << 20  # bytes of folded texts that a task's group compares
+TOGETHER = 1_000_000  # links, contracted in each partition, that one task joins up to components; more go through rounds of joins
 
 
 def recall_at(similarity: float, trees: int, again: int, level: int) -> float:
@@ -120,7 +121,17 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_SKETCHED = "id long, body long, n long, print binary, sketch binary"
+def _fold(words: C.Words) -> list[bytes]:
+    """Each row's words joined by spaces, compressed: a third of what its shingle hashes would take."""
+    words = words.squeeze()
+    out = []
+    for f, e in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        raw = words.buf[words.starts[f] : words.ends[e - 1]].tobytes() if e > f else b""
+        out.append(len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b""))
+    return out
+
+
+_SKETCHED = "id long, body long, n long, print binary, sketch binary, folded binary"
 
 
 def _sketch(k: int) -> Callable:
@@ -133,7 +144,8 @@ def _sketch(k: int) -> Callable:
                 sketch = iter(sketches([sets[i] for i in full]))
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 made = [next(sketch).tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(made, pa.binary())], ["id", "body", "n", "print", "sketch"])
+                columns = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, made, _fold(words)))]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], ["id", "body", "n", "print", "sketch", "folded"])
 
     return run
 
@@ -164,7 +176,7 @@ def _roots(trees: int) -> Callable:
                 # strangers may share one token in a large corpus, so no node of the first level is compared
                 again, child = _branch(child, tokens[row])
                 at = pa.array(row[again])
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["node", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], ["node", "id", "bytes"])
 
     return run
 
@@ -178,7 +190,7 @@ def _deeper(again: int) -> Callable:
             for r in range(again):
                 row, child = _branch(C.mix(path + C.U(r)) if r else path, tokens)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(i).take(at) for i in (1, 2, 3))], ["node", "id", "n", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(i).take(at) for i in (1, 2, 3))], ["node", "id", "bytes", "comp"])
 
     return run
 
@@ -190,19 +202,6 @@ def _alike(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lower-case words joined by spaces, compressed: a third of what its shingle hashes would take."""
-    for batch in batches:
-        for lo, hi, words in C.pieces(batch.column(1), lower=True):
-            words = words.squeeze()
-            out = []
-            for i in range(hi - lo):
-                f, e = words.first[i], words.first[i + 1]
-                raw = words.buf[words.starts[f] : words.ends[e - 1]].tobytes() if e > f else b""
-                out.append(len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b""))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["id", "folded"])
-
-
 def _unfold(values: list[bytes], k: int) -> list[np.ndarray]:
     raw = [pa.decompress(v[8:], int.from_bytes(v[:8], "little"), codec="zstd", asbytes=True) if len(v) > 8 else b"" for v in values]
     out = []
@@ -272,11 +271,11 @@ def _compare(k: int, percent: int) -> Callable:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: int, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, a < b) that are similar: sketches first, then full sets."""
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("sketch").alias(f"{c}_sketch"))
+    """The pairs (a, b, a < b) that are similar: sizes and sketches first, then full sets."""
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch"))
     text = lambda c: texts.select(F.col("id").alias(c), F.col("folded").alias(f"{c}_text"))
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_sketch", "b_sketch")
-    near = near.mapInArrow(lambda batches: _alike(batches, least), "a long, b long")
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+    near = near.select("a", "b", "a_sketch", "b_sketch").mapInArrow(lambda batches: _alike(batches, least), "a long, b long")
     full = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "a_text", "b_text")
     return full.mapInArrow(_verify(k, percent), "a long, b long")
 
@@ -303,29 +302,24 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, recall: float = 0.99
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("body"), F.col("text").cast("string").alias("text"))
     all_sets = C.settle(docs.mapInArrow(_sketch(k), _SKETCHED), f"{base}/sets")
     known = all_sets.where("print is not null and id is not null")
-    lead = known.groupBy("print").agg(F.min("id").alias("id"))
-    # rows that share an id may lead several classes, so classes have names of their own
-    classes = known.join(lead, ["print", "id"]).dropDuplicates(["print"])
-    classes = C.settle(classes.select(F.xxhash64("print").alias("id"), F.col("id").alias("doc"), "body", "n", "print", "sketch"), f"{base}/classes")
+    # rows that share an id may lead several classes, so classes have names of their own; of equal sets any sketch and text will do
+    classes = known.groupBy("print").agg(F.min("id").alias("doc"), *(F.first(c).alias(c) for c in ("n", "sketch", "folded")))
+    classes = C.settle(classes.select(F.xxhash64("print").alias("id"), "doc", "n", F.length("folded").cast("long").alias("bytes"), "print", "sketch", "folded"), f"{base}/classes")
     similarity = percent / 100
     (trees, again), least = branchings(similarity, recall), least_agreement(similarity)
-    roots = C.settle(classes.select("id", "n", "sketch").mapInArrow(_roots(trees), "node long, id long, n long"), f"{base}/roots")
+    roots = C.settle(classes.select("id", "bytes", "sketch").mapInArrow(_roots(trees), "node long, id long, bytes long"), f"{base}/roots")
     shared = roots.groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("low")).where("size > 1")
     member = C.settle(roots.join(shared, "node"), f"{base}/members")
     C.discard(spark, f"{base}/roots")
 
     # full texts of every class that shares a node, moved once
-    those = member.select("id").distinct().join(classes.select("id", "doc", "body"), "id")
-    wanted = docs.withColumnRenamed("id", "doc").join(those, ["doc", "body"]).select("id", "text")
-    texts = wanted.mapInArrow(_fold, "id long, folded binary").dropDuplicates(["id"])
-    texts = C.settle(texts.withColumn("size", F.length("folded").cast("long")), f"{base}/texts")
+    texts = C.settle(classes.select("id", "folded").join(member.select("id").distinct(), "id", "left_semi"), f"{base}/texts")
 
-    first = member.where("id <> low").join(classes.select(F.col("id").alias("low"), F.col("n").alias("m")), "low")
-    first = first.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").selectExpr("least(id, low) as a", "greatest(id, low) as b")
+    first = member.where("id <> low").selectExpr("low as a", "id as b")
     links = C.settle(_verified(first, classes, texts, least, k, percent), f"{base}/first")
-    comp = C.components(links)
+    comp = C.components(links, together=TOGETHER)
 
-    level = member.select("node", "id", "n").join(comp, "id", "left").selectExpr("node", "id", "n", "coalesce(component, id) as comp")
+    level = member.select("node", "id", "bytes").join(comp, "id", "left").selectExpr("node", "id", "bytes", "coalesce(component, id) as comp")
     found = dense = None
     for depth in range(1, LEVELS + 1):
         per = level.groupBy("node", "comp").agg(F.count("*").alias("c")).groupBy("node")
@@ -336,39 +330,39 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 75, recall: float = 0.99
         here = level if last else level.where(f"size <= {LEAF} or (2 * top.c < size and size <= {WIDE * BLOCK})")
         small = here.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
         small = small.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        small = small.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id")
+        small = small.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "id", "bytes")
         found = small if found is None else found.unionAll(small)
         if last:
             break
         large = level.where(f"size > {LEAF}")
-        part = large.where("2 * top.c >= size").selectExpr("top.comp as c", "id", "comp <> top.comp as odd")
+        part = large.where("2 * top.c >= size").selectExpr("top.comp as c", "id", "bytes", "comp <> top.comp as odd")
         dense = part if dense is None else dense.unionAll(part)
         large = large.where(f"2 * top.c < size and size > {WIDE * BLOCK}")
         if large.isEmpty():
             break
-        level = large.join(classes.select("id", "sketch"), "id").select("node", "id", "n", "comp", "sketch").mapInArrow(_deeper(again if depth == 1 else 1), "node long, id long, n long, comp long")
+        level = large.join(classes.select("id", "sketch"), "id").select("node", "id", "bytes", "comp", "sketch").mapInArrow(_deeper(again if depth == 1 else 1), "node long, id long, bytes long, comp long")
     # nodes that one component dominates: whoever is not of it against all members, once for all such nodes, in pairs of blocks
     dense = C.settle(dense.distinct(), f"{base}/dense")
     sizes = dense.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).alias("all"), F.ceil(F.sum(F.col("odd").cast("long")) / BLOCK).alias("odds")).where("odds > 0")
     dense = dense.join(sizes, "c").withColumn("h", F.xxhash64("id"))
-    left = dense.where("odd").selectExpr("c", "id", "pmod(h, odds) as x", "explode(sequence(0L, all - 1)) as y")
-    right = dense.selectExpr("c", "id", "explode(sequence(0L, odds - 1)) as x", "pmod(h, all) as y")
-    found = found.unionAll(left.unionAll(right).select(F.xxhash64("c", "x", "y", F.lit("dense")).alias("node"), "id").distinct())
+    left = dense.where("odd").selectExpr("c", "id", "bytes", "pmod(h, odds) as x", "explode(sequence(0L, all - 1)) as y")
+    right = dense.selectExpr("c", "id", "bytes", "odd", "pmod(h, odds) as own", "explode(sequence(0L, odds - 1)) as x", "pmod(h, all) as y")
+    right = right.where("not (odd and x = own)").drop("odd", "own")  # left has those
+    found = found.unionAll(left.unionAll(right.select(*left.columns)).select(F.xxhash64("c", "x", "y", F.lit("dense")).alias("node"), "id", "bytes"))
     found = C.settle(found, f"{base}/found")
     # as many groups as keep the texts of one within COMPARED bytes, but for a node of larger texts
-    total = found.join(texts.select("id", "size"), "id").agg(F.sum("size")).first()[0] or 0
+    total = found.agg(F.sum("bytes")).first()[0] or 0
     groups = max(16 * C.shuffle_partitions(spark), -(-total // COMPARED))
     met = found.join(texts.select("id", "folded"), "id").select(F.pmod("node", F.lit(groups)).alias("bucket"), "node", "id", "folded")
-    more = C.settle(met.groupBy("bucket").applyInArrow(_compare(k, percent), "a long, b long").distinct(), f"{base}/second")
-    comp = C.components(links.unionAll(more))
+    more = C.settle(met.groupBy("bucket").applyInArrow(_compare(k, percent), "a long, b long"), f"{base}/second")
+    comp = C.components(links.unionAll(more), together=TOGETHER)
     for name in ("texts", "found", "dense", "members", "first", "second", *(f"level{i}" for i in range(1, LEVELS + 1))):
         C.discard(spark, f"{base}/{name}")
 
     # classes are named by hashes; a component is called after its smallest doc_id
-    named = comp.join(classes.select("id", "doc"), "id")
+    named = classes.select("print", "id", "doc").join(comp, "id", "left").selectExpr("print", "doc", "coalesce(component, id) as component")
     low = named.groupBy("component").agg(F.min("doc").alias("low"))
-    low = named.join(low, "component").select("id", "low")
-    label = classes.select("print", "id", "doc").join(low, "id", "left").selectExpr("print", "coalesce(low, doc) as low")
+    label = named.join(low, "component").select("print", "low")
     label = C.settle(label, f"{base}/labels")
     C.discard(spark, f"{base}/classes")
     out = all_sets.select(F.col("id").alias("doc"), "body", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("print")).alias("print"))

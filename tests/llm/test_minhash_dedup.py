@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from evigraph.llm import common as C
 from evigraph.llm import minhash_dedup as M
 from evigraph.llm.minhash_dedup import near_duplicates
 
@@ -100,3 +101,46 @@ def test_words_that_a_polynomial_confuses(spark):
     b = a.translate(str.maketrans("ab", "ba"))
     got = {r.doc_id: r for r in M.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}
     assert got[1].kept and got[2].kept and got[2].component_id == 2
+
+
+def tasks_of(spark, run):
+    """The tasks of all jobs that run starts."""
+    group = f"tasks-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+
+
+def test_tasks_where_no_partitions_are_merged(spark):
+    """Where a shuffle keeps its partitions, the run costs what its shuffles are: rows of one large group of near copies."""
+    df = spark.createDataFrame(made(4, 3, 100, 0.06), "doc_id long, text string").repartition(3)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        took = tasks_of(spark, lambda: near_duplicates(df).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < took <= 40 * 35
+
+
+@pytest.mark.parametrize("together", [0, 30, 10_000])
+def test_components_in_one_task_or_in_rounds(spark, together):
+    r = random.Random(8)
+    edges = [(r.randint(-400, 400), r.randint(-400, 400)) for _ in range(350)] + [(7, 7), (900, 901), (900, 901)]
+    got = [tuple(x) for x in C.components(spark.createDataFrame(edges, "a long, b long").repartition(5), together=together).collect()]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert sorted(got) == sorted(label.items())
+    none = spark.createDataFrame([(3, 3)], "a long, b long")
+    assert C.components(none, together=together).collect() == []
