@@ -54,3 +54,12 @@ def test_betweenness_from_evenly_spaced_sources(spark):
     total = sum(G._dependencies(g, i) for i in some) * len(g) / len(some) / ((len(g) - 1) * (len(g) - 2))
     got = {r.node: r.score for r in G.betweenness(edges(spark), sources=7, exact=10).collect()}
     assert got == pytest.approx(dict(zip(g.names.tolist(), total.tolist(), strict=True)), abs=1e-6)
+
+
+def test_cuts_by_parts(spark):
+    g = whole()
+    points, bridges = (g.names[x] for x in G.cut_sets(g))
+    rows = [tuple(r) for r in G.cuts(edges(spark)).collect()]
+    assert {a for k, a, b in rows if k == "articulation" and b is None} == set(points.tolist())
+    assert sorted((a, b) for k, a, b in rows if k == "bridge") == sorted(map(tuple, bridges.tolist()))
+    assert len(rows) == len(points) + len(bridges)
