@@ -63,3 +63,17 @@ def test_cuts_by_parts(spark):
     assert {a for k, a, b in rows if k == "articulation" and b is None} == set(points.tolist())
     assert sorted((a, b) for k, a, b in rows if k == "bridge") == sorted(map(tuple, bridges.tolist()))
     assert len(rows) == len(points) + len(bridges)
+
+
+def test_strong_components_by_parts(spark):
+    got = {r.node: r.scc for r in G.strong_components(edges(spark)).collect()}
+    assert got == {**{n: n for p in PAIRS for n in p}, **dict.fromkeys((200, 201, 202), 200), 500: 500, 501: 500, **cycles()}
+
+
+def cycles():
+    """Strong components of the rings of cliques, by reachability."""
+    nodes = {n for p in RINGS for n in p}
+    reach = {(n, n) for n in nodes} | set(RINGS)
+    while (more := reach | {(a, d) for a, b in reach for c, d in RINGS if b == c}) != reach:
+        reach = more
+    return {n: min(m for m in nodes if (n, m) in reach and (m, n) in reach) for n in nodes}
