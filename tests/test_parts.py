@@ -77,3 +77,9 @@ def cycles():
     while (more := reach | {(a, d) for a, b in reach for c, d in RINGS if b == c}) != reach:
         reach = more
     return {n: min(m for m in nodes if (n, m) in reach and (m, n) in reach) for n in nodes}
+
+
+def test_communities_by_parts(spark):
+    g = whole()
+    got = {r.node: r.c for r in G.communities(edges(spark)).collect()}
+    assert got == dict(zip(g.names.tolist(), g.names[G.louvain(g)].tolist(), strict=True))
