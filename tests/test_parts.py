@@ -83,3 +83,10 @@ def test_communities_by_parts(spark):
     g = whole()
     got = {r.node: r.c for r in G.communities(edges(spark)).collect()}
     assert got == dict(zip(g.names.tolist(), g.names[G.louvain(g)].tolist(), strict=True))
+
+
+def test_oversized_by_parts(spark):
+    """Two large communities at once are both looked at, each against what the other has become."""
+    halves = spark.createDataFrame([(n, "a" if n < 100 else "b" if n < 200 else f"c{n}") for p in PAIRS for n in p], "node long, c string").distinct()
+    got = {r.node: r.c for r in G.split_oversized(edges(spark), halves).collect()}
+    assert got == {n: (n // 100 * 100 + n % 100 // 4 * 4 if n < 200 else n) for p in PAIRS for n in p}
