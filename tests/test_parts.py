@@ -90,3 +90,12 @@ def test_oversized_by_parts(spark):
     halves = spark.createDataFrame([(n, "a" if n < 100 else "b" if n < 200 else f"c{n}") for p in PAIRS for n in p], "node long, c string").distinct()
     got = {r.node: r.c for r in G.split_oversized(edges(spark), halves).collect()}
     assert got == {n: (n // 100 * 100 + n % 100 // 4 * 4 if n < 200 else n) for p in PAIRS for n in p}
+
+
+def test_hubs_by_parts(spark):
+    g = whole()
+    e = G.deal(edges(spark))
+    got = {r.node: (r.degree, r.score) for r in G.hubs(e, len(g)).collect()}
+    between = {r.node: r.score for r in G.betweenness(e).collect()}
+    degree = dict(zip(g.names.tolist(), np.diff(g.at).tolist(), strict=True))
+    assert got == {n: (k, pytest.approx(0.6 * between[n] + 0.4 * k / (len(g) - 1), abs=1e-6)) for n, k in degree.items()}
