@@ -99,3 +99,13 @@ def test_hubs_by_parts(spark):
     between = {r.node: r.score for r in G.betweenness(e).collect()}
     degree = dict(zip(g.names.tolist(), np.diff(g.at).tolist(), strict=True))
     assert got == {n: (k, pytest.approx(0.6 * between[n] + 0.4 * k / (len(g) - 1), abs=1e-6)) for n, k in degree.items()}
+
+
+def test_chokepoints_by_parts(spark):
+    g = whole()
+    e = G.deal(edges(spark))
+    hub = G.hubs(e, len(g))
+    between = {r.node: r.betweenness for r in hub.collect()}
+    points = set(g.names[G.cut_sets(g)[0]].tolist())
+    want = {n for n in points if between[n] >= G.CHOKE * max(between.values())}
+    assert want and {r.node for r in G.chokepoints(G.cuts(e), hub).collect()} == want
