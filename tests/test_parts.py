@@ -109,3 +109,10 @@ def test_chokepoints_by_parts(spark):
     points = set(g.names[G.cut_sets(g)[0]].tolist())
     want = {n for n in points if between[n] >= G.CHOKE * max(between.values())}
     assert want and {r.node for r in G.chokepoints(G.cuts(e), hub).collect()} == want
+
+
+def test_review_questions_without_a_graph_on_the_driver(spark):
+    from __spark_entry__ import queries
+
+    rows = queries()["review_questions"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 20 and {"bridge", "untested_hotspot"} <= {r.category for r in rows}
