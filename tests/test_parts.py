@@ -116,3 +116,16 @@ def test_review_questions_without_a_graph_on_the_driver(spark):
 
     rows = queries()["review_questions"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 20 and {"bridge", "untested_hotspot"} <= {r.category for r in rows}
+
+
+def test_sweep_by_parts(spark):
+    g = whole()
+    got = {r.resolution: (r.communities, r.modularity) for r in G.sweep(edges(spark), [0.5, 1.0, 2.0]).collect()}
+    for r in (0.5, 1.0, 2.0):
+        c = G.louvain(g, r)
+        assert got[r] == (len(np.unique(c)), pytest.approx(G._modularity(g, c), abs=1e-6))
+
+
+def test_sweep_without_edges(spark):
+    none = spark.createDataFrame([], "s long, o long, w double")
+    assert sorted(map(tuple, G.sweep(none, [1.0, 2.0]).collect())) == [(1.0, 0, 0.0), (2.0, 0, 0.0)]
