@@ -129,3 +129,39 @@ def test_sweep_by_parts(spark):
 def test_sweep_without_edges(spark):
     none = spark.createDataFrame([], "s long, o long, w double")
     assert sorted(map(tuple, G.sweep(none, [1.0, 2.0]).collect())) == [(1.0, 0, 0.0), (2.0, 0, 0.0)]
+
+
+def walked(roots, pairs, depth=None):
+    """(root, node): what each root reaches within depth, itself included."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    out = set()
+    for r in roots:
+        seen, front, d = {r}, {r}, 0
+        while front and (depth is None or d < depth):
+            front, d = {y for x in front for y in near.get(x, ())} - seen, d + 1
+            seen |= front
+        out |= {(r, x) for x in seen}
+    return out
+
+
+def tangles(seed):
+    """Directed graphs with a large strong component, what leads to it, from it and past it."""
+    r = np.random.default_rng(seed)
+    pairs = r.integers(0, 160, (220, 2))
+    return sorted({(int(a), int(b)) for a, b in pairs if a != b})
+
+
+def test_reach_counts_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "bfs", None)
+    for seed in (1, 2):
+        pairs = tangles(seed)
+        for roots in ({a for a, _ in pairs} - {b for _, b in pairs}, {x for p in pairs for x in p if x % 3}):
+            want = {}
+            for r, n in walked(roots, pairs):
+                if r != n:
+                    want[n] = want.get(n, 0) + 1
+            df = spark.createDataFrame([(x,) for x in [*roots, *roots, 999]], "root long")
+            e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "s long, o long, w long")
+            assert {x.node: x.n for x in G.reached(e, df).collect()} == want
