@@ -165,3 +165,11 @@ def test_reach_counts_list_no_pairs(spark, monkeypatch):
             df = spark.createDataFrame([(x,) for x in [*roots, *roots, 999]], "root long")
             e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "s long, o long, w long")
             assert {x.node: x.n for x in G.reached(e, df).collect()} == want
+
+
+def test_risk_scores_list_no_pairs(spark, monkeypatch):
+    from __spark_entry__ import queries
+    from evigraph.operators import code
+
+    monkeypatch.setattr(code, "bfs", None)
+    assert queries()["risk_scores"](spark, "/root/testdata/sf0.001").count() == 200
