@@ -173,3 +173,23 @@ def test_risk_scores_list_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(code, "bfs", None)
     assert queries()["risk_scores"](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_flow_catalogue_lists_no_pairs(spark, monkeypatch):
+    from evigraph.operators import code
+
+    monkeypatch.setattr(code, "bfs", None)
+    monkeypatch.setattr(G, "TASK_ROOTS", 5, raising=False)
+    for seed in (1, 2):
+        pairs = tangles(seed)
+        path = {n: None if n % 11 == 0 else f"p{n % 7}" for p in pairs for n in p if n % 13} | {999: "alone"}
+        for roots in ({a for a, _ in pairs} - {b for _, b in pairs} | {999}, {n for p in pairs for n in p}):
+            want = {}
+            for r, n in walked(roots, pairs, 4):
+                if n in path:
+                    want.setdefault(r, []).append(path[n])
+            want = {r: (len(x), len({y for y in x if y})) for r, x in want.items()}
+            e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "s long, o long, w long")
+            n = spark.createDataFrame(list(path.items()), "id long, path string")
+            got = code.flow_catalogue(e, spark.createDataFrame([(x,) for x in [*roots, *roots]], "root long"), n, 4)
+            assert {x.root: (x.steps, x.paths) for x in got.collect()} == want
