@@ -25,3 +25,18 @@ def test_references_to_one_name_are_resolved_in_several_tasks(spark, monkeypatch
     want = sorted((r, i, 0.9 if k[n] == 1 else 0.6) for r, n in names.items() if n for i, x in symbols if x == n)
     assert sorted(map(tuple, got.collect())) == want
     assert got.where("ref < 300").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_similar_pairs_are_multiplied_in_blocks(spark, monkeypatch):
+    from evigraph.operators import search
+
+    rows = [(f"{i}:{i % 3}", " ".join(f"w{(i * i + j * (1 + i % 4)) % 19}" for j in range(2 + i % 7))) for i in range(150)] + [("x:0", ""), ("x:1", None)]
+    chunks = spark.createDataFrame(rows, "id string, text string")
+    want = {(r.a, r.b): r.score for r in search._prefixed(search.hashed_vectors(chunks), 0.9).collect()}
+    monkeypatch.setattr(search, "_prefixed", None)
+    for block, strip in ((40, 8 * 256 * 5), (10**6, 1)):
+        monkeypatch.setattr(search, "BLOCK_ROWS", block)
+        monkeypatch.setattr(search, "STRIP", strip)
+        got = [tuple(r) for r in search.similar_pairs(chunks).collect()]
+        assert len(got) == len(want) > 50
+        assert {(a, b): s for a, b, s in got} == pytest.approx(want, abs=2e-6)
