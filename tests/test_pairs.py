@@ -40,3 +40,31 @@ def test_similar_pairs_are_multiplied_in_blocks(spark, monkeypatch):
         got = [tuple(r) for r in search.similar_pairs(chunks).collect()]
         assert len(got) == len(want) > 50
         assert {(a, b): s for a, b, s in got} == pytest.approx(want, abs=2e-6)
+
+
+def planted(n=160):
+    """(subject, object) of few topics, with numbers, units, negations and opposites, and objects that differ by case alone."""
+    say = ["open all day", "closed on sunday", "not open all day", "5 minutes long", "300 sec long", "6 kb large", "6 minutes long", "open and closed", "OPEN and closed", "safe", "unsafe for all", "Open all day ", "", "-0 or 0.0", "7"]
+    return [(f"The {['gate', 'gate door', 'tower'][i % 3]} {['', 'v2'][i % 2]}".strip(), say[i // 6 % len(say)] + (f" {'abc'[i % 3]}" if i % 5 == 0 else "")) for i in range(n)]
+
+
+def by_pairs(spark, rows):
+    """score of each ordered pair of objects, compared one by one."""
+    from evigraph.operators import evidence
+
+    objects = sorted({o for _, o in rows})
+    d = spark.createDataFrame([(o,) for o in objects], "a string")
+    return {(r.a, r.b): r.s for r in d.crossJoin(d.withColumnRenamed("a", "b")).select("a", "b", evidence.compare(F.col("a"), F.col("b")).alias("s")).collect()}
+
+
+def test_contradictions_of_a_subject_compare_kinds(spark, monkeypatch):
+    from evigraph.operators import evidence
+
+    rows = planted()
+    score = by_pairs(spark, rows)
+    monkeypatch.setattr(evidence, "compare", None)  # no pair of claims is compared
+    claims = spark.createDataFrame([("is", s, o) for s, o in rows], "predicate string, subject string, object string")
+    got = sorted((r.subject, r.a, r.b, r.score) for r in evidence.same_subject(claims).collect())
+    said = sorted({(s.lower(), o) for s, o in rows})
+    want = sorted((s, a, b, score[a, b]) for s, a in said for t, b in said if s == t and a < b and score[a, b] >= 0.5)
+    assert got == want and {0.5, 0.7, 0.8} == {r[3] for r in got}
