@@ -68,3 +68,23 @@ def test_contradictions_of_a_subject_compare_kinds(spark, monkeypatch):
     said = sorted({(s.lower(), o) for s, o in rows})
     want = sorted((s, a, b, score[a, b]) for s, a in said for t, b in said if s == t and a < b and score[a, b] >= 0.5)
     assert got == want and {0.5, 0.7, 0.8} == {r[3] for r in got}
+
+
+def test_paraphrases_compare_kinds(spark, monkeypatch):
+    from evigraph.operators import evidence
+
+    rows = planted()
+    score = by_pairs(spark, rows)
+    claims = spark.createDataFrame([("is", s, o) for s, o in rows], "predicate string, subject string, object string")
+    said = {(r.subject, r.object): (set(r.topic), r.ids) for r in evidence.topics(claims).select(F.lower("subject").alias("subject"), "object", "topic", "ids").collect()}
+    looked_at = []
+    judge = evidence._at_odds
+    monkeypatch.setattr(evidence, "_at_odds", lambda *a: looked_at.append(judge(*a)) or looked_at[-1])
+    got = sorted(map(tuple, evidence.paraphrases(claims).select("a_subject", "a_object", "b_subject", "b_object", "score").collect()))
+    want = set()
+    for x, (topic, ids) in said.items():
+        for y, (other, its) in said.items():
+            if topic and topic <= other and ids == its and x[0] != y[0] and score[x[1], y[1]] >= 0.5:
+                want.add((*min(x, y), *max(x, y), score[x[1], y[1]]))
+    assert got == sorted(want) and got
+    assert len(looked_at) == 1 and looked_at[0].where("x_kind = y_kind and score < 0.8").isEmpty()
