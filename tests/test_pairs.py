@@ -88,3 +88,19 @@ def test_paraphrases_compare_kinds(spark, monkeypatch):
                 want.add((*min(x, y), *max(x, y), score[x[1], y[1]]))
     assert got == sorted(want) and got
     assert len(looked_at) == 1 and looked_at[0].where("x_kind = y_kind and score < 0.8").isEmpty()
+
+
+def test_a_scan_reads_its_claims_once(spark):
+    from evigraph.operators import ledger
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("is", s, o) for s, o in planted()]
+    claims = spark.createDataFrame(rows, "predicate string, subject string, object string").mapInArrow(seen, "predicate string, subject string, object string")
+    assert {r.route for r in ledger.scan(claims).collect()} == {"same_subject", "paraphrase"}
+    assert read.value == len(rows)
